@@ -1,7 +1,59 @@
-"""Placeholder stages; see STAGES."""
+"""From raw documents to packed training sequences: STAGES in order, each on what the one before it kept.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), with docs reread from the Parquet that the stage before wrote,
+and all but the last return the columns of documents. SQL can't express the fitted models or the
+packing, so ORACLE_SQL is None and the tests hold each stage against a plain version.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from codelattice.llm import jaccard, mixing, packing, quality, secrets
+from codelattice.llm.common import checkpoint_dir, table
+from codelattice.llm.queries import vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ORACLE_SQL = None
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return jaccard.keep_one(docs).select(*COLUMNS)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; n_chars follows."""
+    return secrets.redact(docs).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source is replicated or thinned to its weight, and all are shuffled."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens, in the order of the mix."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [("quality classifier", good_documents), ("n-gram Jaccard join", one_of_each), ("secret scans", without_secrets), ("mixing sources", mixed), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; what each keeps is written to the shared checkpoint folder and read again."""
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{base}/{k}")
+            docs = spark.read.parquet(f"{base}/{k}")
+    return docs
