@@ -90,9 +90,10 @@ class Encoder:
         ends |= kind == 2
         kept = kind != 0
         ends &= kept
-        at = np.cumsum(kept.view(np.uint8) + ends.view(np.uint8), dtype=np.int64)
+        at = np.cumsum(kept.view(np.uint8) + ends.view(np.uint8), dtype=np.int32)
         if not at[-1]:
             return np.empty(0, np.uint16)
         out = np.zeros(at[-1], np.uint8)
-        out[(at - 1 - ends)[kept]] = raw[kept]
+        solid = np.flatnonzero(kept)
+        out[(at - ends).take(solid) - 1] = raw.take(solid)
         return self.ids[self.fast.encode_to_numpy(out.tobytes().decode("latin-1"), disallowed_special=())]

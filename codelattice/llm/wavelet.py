@@ -45,9 +45,9 @@ class WaveletMatrix:
             bit = (now >> now.dtype.type(width - 1 - level) & now.dtype.type(1)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             planes[level, : len(packed)] = packed
-            low = now[~bit]
+            low = now.take(np.flatnonzero(~bit))  # places are gathered several times faster than by a mask
             zeros[level] = len(low)
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([low, now.take(np.flatnonzero(bit))])
         return cls(width, n, zeros, planes)
 
     def _sample(self) -> np.ndarray:
@@ -63,8 +63,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             z = int(self.zeros[level])
             up = np.empty(self.n, kind)
-            up[~bit] = now[:z]
-            up[bit] = now[z:] | kind(1 << (self.width - 1 - level))
+            up[np.flatnonzero(~bit)] = now[:z]
+            up[np.flatnonzero(bit)] = now[z:] | kind(1 << (self.width - 1 - level))
             now = up
         return now
 
