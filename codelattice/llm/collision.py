@@ -26,9 +26,9 @@ from .vectors import matrix, unit, usable
 
 DIRECTIONS = 96
 HALF_WIDTH = 1.0  # of a window, as a share of the radius it stands for
-FACTOR = 1.12
-FIRST_RADIUS = 0.08
-SHARD_ROWS, QUERY_ROWS = 12_288, 512
+#: Radii grow by the first factor up to NEAR, where few vectors lie, and by the second from there.
+FIRST_RADIUS, NEAR, FACTORS = 0.1, 0.7, (1.5, 1.07)
+SHARD_ROWS, QUERY_ROWS = 32_768, 256
 DEVIATIONS = 1.3
 
 
@@ -42,6 +42,14 @@ def threshold(m: int) -> int:
     return max(1, math.floor(m * chance - DEVIATIONS * math.sqrt(m * chance * (1 - chance))))
 
 
+def radii() -> list[float]:
+    """The radii of virtual rehashing; the last holds every vector of length 1."""
+    out = [FIRST_RADIUS]
+    while out[-1] < 2:
+        out.append(out[-1] * FACTORS[out[-1] >= NEAR])
+    return out
+
+
 class Shard:
     """Sorted projections of some vectors; ids ascend, so that ties fall to the smaller id."""
 
@@ -51,46 +59,48 @@ class Shard:
         self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(values, self.order, axis=1)
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Row numbers and cosines of the k best found, best first, and how many vectors were verified."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """For each query its id, row numbers and cosines of the k best found, best first, and how many vectors were verified."""
+        at, steps = queries @ self.sides, radii()
+        width = np.array(steps) * HALF_WIDTH
+        n, m = len(self.ids), len(self.values)
+        low, high = np.empty((len(queries), len(steps), m), np.int32), np.empty((len(queries), len(steps), m), np.int32)
+        for i in range(m):  # the bounds of all windows, by direction
+            low[:, :, i] = np.searchsorted(self.values[i], at[:, i, None] - width)
+            high[:, :, i] = np.searchsorted(self.values[i], at[:, i, None] + width, side="right")
+        for q, query_id in enumerate(query_ids.tolist()):
+            own = int(np.searchsorted(self.ids, query_id))
+            skip = own < n and self.ids[own] == query_id
+            yield query_id, *self._one(queries[q], low[q], high[q], steps, own if skip else -1, k)
+
+    def _one(self, query: np.ndarray, low: np.ndarray, high: np.ndarray, steps: list[float], own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         n, m = len(self.ids), len(self.values)
-        own = np.searchsorted(self.ids, query_id)
-        skip = own < n and self.ids[own] == query_id
-        left = n - int(skip)
-        if not left:
-            return np.empty(0, np.int64), np.empty(0), 0
-        at, need = q @ self.sides, threshold(m)
-        low = np.array([np.searchsorted(v, a) for v, a in zip(self.values, at)])
-        high, counts = low.copy(), np.zeros(n, np.int64)
-        cosine, done = np.full(n, -2.0), np.zeros(n, bool)
-        if skip:
+        left, need = n - (own >= 0), threshold(m)
+        counts, done = np.zeros(n, np.int64), np.zeros(n, bool)
+        if own >= 0:
             done[own] = True
-        radius, verified = FIRST_RADIUS, 0
-        while True:
-            width = radius * HALF_WIDTH
-            rings = []
-            for i in range(m):
-                a, b = np.searchsorted(self.values[i], (at[i] - width, at[i] + width))
-                if a < low[i]:
-                    rings.append(self.order[i, a : low[i]])
-                    low[i] = a
-                if b > high[i]:
-                    rings.append(self.order[i, high[i] : b])
-                    high[i] = b
+        rows, cosine, verified = np.empty(0, np.int64), np.empty(0), 0
+        for step, radius in enumerate(steps):
+            a, b = low[step], high[step]
+            if step:
+                c, d = low[step - 1], high[step - 1]
+                rings = [self.order[i, a[i] : c[i]] for i in np.flatnonzero(a < c)] + [self.order[i, d[i] : b[i]] for i in np.flatnonzero(d < b)]
+            else:
+                rings = [self.order[i, a[i] : b[i]] for i in np.flatnonzero(a < b)]
             if rings:
                 counts += np.bincount(np.concatenate(rings), minlength=n)
-                fresh = np.flatnonzero((counts >= need) & ~done)
-                if len(fresh):
-                    cosine[fresh] = self.x[fresh] @ q
-                    done[fresh] = True
-                    verified += len(fresh)
-            if verified >= min(k, left):
-                best = np.argsort(-cosine, kind="stable")[:k]
-                best = best[cosine[best] > -2]
-                kth = math.sqrt(max(0.0, 2 - 2 * cosine[best[-1]]))
-                if kth <= radius or verified == left:
-                    return best, cosine[best], verified
-            radius = max(radius * FACTOR, 1.02) if radius > 2.5 else radius * FACTOR
+            fresh = np.flatnonzero((counts >= need) & ~done) if radius < 2 else np.flatnonzero(~done)
+            if len(fresh):
+                done[fresh] = True
+                verified += len(fresh)
+                rows, cosine = np.append(rows, fresh), np.append(cosine, self.x[fresh] @ query)
+                if len(rows) > k:  # ties with the k-th stay
+                    kept = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
+                    rows, cosine = rows[kept], cosine[kept]
+            if verified == left or len(rows) >= k and math.sqrt(max(0.0, 2 - 2 * cosine.min())) <= radius:
+                break
+        best = np.lexsort((rows, -cosine))[:k]
+        return rows[best], cosine[best], verified
 
 
 def _save(**arrays: np.ndarray) -> bytes:
@@ -139,8 +149,7 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, seed: int = 23
                 with np.load(io.BytesIO(batch.column("queries")[r].as_py())) as asked_now:
                     ids, x = asked_now["ids"], unit(asked_now["x"])
                 out: list[tuple] = []
-                for query_id, q in zip(ids.tolist(), x):
-                    best, cosine, verified = held[1].search(query_id, q, k)
+                for query_id, best, cosine, verified in held[1].search(ids, x, k):
                     out += [(query_id, int(held[1].ids[b]), float(c), verified if not i else 0) for i, (b, c) in enumerate(zip(best, cosine))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["query_id", "vec_id", "score", "verified"])
 
