@@ -89,7 +89,7 @@ steps(source, rate, k, p, c) AS (
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps WHERE k + 1 <= ceil(rate + 12 * sqrt(rate)) + 30),
 lists AS (SELECT source, list(c ORDER BY k) AS cs FROM steps GROUP BY source),
 drawn AS (
-  SELECT d.*, len(list_filter(l.cs, c -> c <= ('0x' || substr(md5('{SEED}:' || d.doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0)) AS copies
+  SELECT d.*, len(list_filter(l.cs, lambda c: c <= ('0x' || substr(md5('{SEED}:' || d.doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0)) AS copies
   FROM documents d JOIN lists l USING (source)),
 spread AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1)) AS copy FROM drawn WHERE copies > 0)
 SELECT *, md5('{SEED} order:' || doc_id || ':' || copy) AS shuffle_key FROM spread
