@@ -90,7 +90,7 @@ class CoverTree:
 
     @classmethod
     def of(cls, arrays) -> "CoverTree":
-        tree = cls.__new__(cls)
+        tree = cls.__new__(cls)  # arrays in the place of lists
         for k in ("x", "order", "centre", "radius", "child", "member"):
             setattr(tree, k, arrays[k])
         return tree
@@ -98,6 +98,11 @@ class CoverTree:
     def members(self, node: int) -> np.ndarray:
         return self.order[self.member[node][0] : self.member[node][1]]
 
+    def members_of(self, nodes: np.ndarray) -> np.ndarray:
+        begin, end = self.member[nodes, 0], self.member[nodes, 1]
+        size = end - begin
+        return self.order[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
 
 class Links:
     """Counts of links and a union of linked rows, for two sides with rows numbered in one sequence."""
@@ -143,41 +148,61 @@ def dual(one: CoverTree, two: CoverTree, cosine: float, same: bool) -> Links:
         links.join(a, np.full(len(a), a[0]))
         links.join(b + shift, np.full(len(b), a[0]))
 
-    def direct(a: np.ndarray, b: np.ndarray, own: bool) -> None:
+    def direct(a: np.ndarray, b: np.ndarray, ranks: tuple[np.ndarray, np.ndarray] | None, without: list[tuple[slice, slice]]) -> None:
+        """All pairs of a and b, but for some stretches; with ranks only those of a lower and a higher rank."""
         hit = one.x[a] @ two.x[b].T >= cosine
-        if own:
-            np.fill_diagonal(hit, False)
-        links.count[a] += hit.sum(1)
-        if not own:
-            links.count[b + shift] += hit.sum(0)
+        for rows, columns in without:
+            hit[rows, columns] = False
         i, j = np.nonzero(hit)
+        if ranks is not None:
+            kept = ranks[0][i] < ranks[1][j]
+            i, j = i[kept], j[kept]
         if len(i):
-            links.join(a[i], b[j] + shift)
+            left, right = a[i], b[j] + shift
+            links.count[:] += np.bincount(left, minlength=len(links.count)) + np.bincount(right, minlength=len(links.count))
+            links.join(left, right)
 
     def parts(tree: CoverTree, node: int) -> np.ndarray:
         begin, end = tree.child[node]
         return np.arange(begin, end) if end > begin else np.array([node])
 
+    rank = np.empty(len(one.x), np.int64)  # children's members follow each other in it
+    rank[one.order] = np.arange(len(one.x))
     todo = [(np.array([0]), np.array([0]), same)]
     while todo:
-        left, right, own = todo.pop()
-        for k in range(0, len(left), 512):
-            a = left[k : k + 512]
-            apart = np.sqrt(np.maximum(0, 2 - 2 * (one.x[one.centre[a]] @ two.x[two.centre[right]].T)))
-            reach = one.radius[a][:, None] + two.radius[right][None, :]
-            open_ = apart - reach <= limit + SLACK
-            if own:  # each pair of children once
-                open_ &= np.arange(k, k + len(a))[:, None] <= np.arange(len(right))[None, :]
-            for i, j in zip(*np.nonzero(open_)):
-                p, q = int(a[i]), int(right[j])
-                itself = same and p == q
-                m, n = one.members(p), two.members(q)
-                if apart[i, j] + reach[i, j] <= limit - SLACK or (itself and 2 * one.radius[p] <= limit - SLACK):
-                    whole(m, n, itself)
-                elif one.child[p][0] == one.child[p][1] and two.child[q][0] == two.child[q][1] or len(m) * len(n) <= LEAF * LEAF:
-                    direct(m, n, itself)
-                else:
-                    todo.append((parts(one, p), parts(two, q), itself))
+        left, every, own = todo.pop()
+        narrow = two.radius[every] <= limit / 8
+        for right in (every[narrow], every[~narrow]):  # one bound for many nodes is tight where their radii are alike
+            if not len(right):
+                continue
+            centres, widest = two.x[two.centre[right]].T, float(two.radius[right].max())
+            for k in range(0, len(left), 512):
+                a = left[k : k + 512]
+                dots = one.x[one.centre[a]] @ centres
+                i, j = np.nonzero(dots >= (1 - np.minimum(2, limit + one.radius[a] + widest + SLACK) ** 2 / 2 - SLACK)[:, None])
+                p, q = a[i], right[j]
+                apart, reach = np.sqrt(np.maximum(0, 2 - 2 * dots[i, j])), one.radius[p] + two.radius[q]
+                open_ = apart - reach <= limit + SLACK
+                if own:  # each pair of children once
+                    open_ &= p <= q
+                i, j, p, q, apart, reach = (x[open_] for x in (i, j, p, q, apart, reach))
+                itself = (p == q) & same
+                near = np.where(itself, 2 * one.radius[p], apart + reach) <= limit - SLACK
+                small = [(t.child[n, 0] == t.child[n, 1]) | (t.member[n, 1] - t.member[n, 0] <= LEAF) for t, n in ((one, p), (two, q))]
+                plain = ~near & small[0] & small[1]
+                if plain.any():  # the members of all small nodes that are near to any, in one product
+                    rows, columns = np.unique(i[plain]), np.unique(j[plain])
+                    m, n = one.members_of(a[rows]), two.members_of(right[columns])
+                    ends = [np.append(0, np.cumsum(t.member[x, 1] - t.member[x, 0])) for t, x in ((one, a[rows]), (two, right[columns]))]
+                    other = ~plain & np.isin(i, rows) & np.isin(j, columns)
+                    r, c = np.searchsorted(rows, i[other]), np.searchsorted(columns, j[other])
+                    without = [(slice(ends[0][x], ends[0][x + 1]), slice(ends[1][y], ends[1][y + 1])) for x, y in zip(r, c)]
+                    direct(m, n, (rank[m], rank[n]) if own else None, without)
+                for x in np.flatnonzero(~plain):
+                    if near[x]:
+                        whole(one.members(int(p[x])), two.members(int(q[x])), bool(itself[x]))
+                    else:
+                        todo.append((parts(one, int(p[x])), parts(two, int(q[x])), bool(itself[x])))
     return links
 
 
