@@ -27,6 +27,8 @@ from .vectors import matrix, unit, usable
 
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 1024
+#: Blocks whose pivots (a vector each) are sent to all tasks; more are joined by Spark's own choice.
+BROADCAST_BLOCKS = 4096
 LEAF = 48
 SLACK = 1e-9
 
@@ -272,6 +274,8 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.95, block_rows: int = BLOCK
     dot = F.aggregate(F.zip_with("pi", "pj", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
     # blocks, not vectors, meet here: there are rows / block_rows of them, and far ones are dropped by their covering radii
+    if blocks.count() <= BROADCAST_BLOCKS:
+        b = F.broadcast(b)
     pairs = a.join(b, (F.col("i") <= F.col("j")) & (apart - F.col("ri") - F.col("rj") <= limit + 1e-6)).select("i", "j")
     n_pairs = pairs.count()
     if not n_pairs:
