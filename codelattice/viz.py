@@ -62,7 +62,7 @@ def layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         at = angles[module][1]
     order = G.hub_order(edges, members)
     calls = asserted(edges, CALLS).select("source", "target").distinct()
-    inner = calls.join(members.select(F.col("node").alias("source"), "module"), "source").join(members.select(F.col("node").alias("target"), F.col("module").alias("m2")), "target").where("module = m2")
+    inner = calls.join(members.select(F.col("node").alias("source"), "module"), "source").join(members.select(F.col("node").alias("target"), F.col("module").alias("m2")), "target").where("module = m2").select("source", "target", F.col("m2").alias("part"))
 
     def place(key: tuple, points: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         low, high = angles[key[0]]
@@ -74,7 +74,7 @@ def layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         x, y = relax(r * np.cos(a), r * np.sin(a), at, low, high)
         return pd.DataFrame({"node": points["node"], "module": key[0], "x": x, "y": y})
 
-    return order.groupBy("module").cogroup(inner.groupBy("module")).applyInPandas(place, "node string, module string, x double, y double")
+    return order.groupBy("module").cogroup(inner.groupBy("part")).applyInPandas(place, "node string, module string, x double, y double")
 
 
 def packed(values: np.ndarray) -> str:
