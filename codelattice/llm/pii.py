@@ -47,7 +47,7 @@ ENTITY = re.compile(
     r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
     r"|(?P<phone>(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9]))"
-    r"|(?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))"
+    r"|(?P<card>(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]))"
 )
 NAME = re.compile(rf"(?:\b(?P<title>{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? (?P<titled>{_CAPITAL}(?: {_CAPITAL}){{0,2}}))|(?:\b(?P<named>(?:{'|'.join(sorted(_GIVEN, key=len, reverse=True))}) {_CAPITAL}))")
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "name")
