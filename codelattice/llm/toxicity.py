@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +26,8 @@ POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 16_000
 VOCABULARY, LEAST_DOCUMENTS = 1_024, 6
 #: A word is a feature if chance explains its share among the toxic with less than exp(-EVIDENCE - log of the words tried).
 EVIDENCE = 0.0
+#: Scores from here on are predicted as toxic.
+THRESHOLD = 0.7
 
 
 def words(text: str | None) -> set[str]:
@@ -110,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 3, positive_rows: int =
 
     # the broadcast side has at most positive_rows + unlabelled_rows rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    bags = cut(texts.select("doc_id", "positive", "text").mapInArrow(distinct_words, "doc_id long, positive int, words array<string>, sketch string").groupBy("positive", "sketch").agg(F.min_by("words", "doc_id").alias("words"), F.min("doc_id").alias("doc_id")).select("doc_id", "positive", "words"))
+    bags = cut(texts.select("doc_id", "positive", "text").mapInArrow(distinct_words, "doc_id long, positive int, words array<string>, sketch string"))
+    single = bags.groupBy("positive", "sketch").agg(F.min_by("words", "doc_id").alias("words"))  # copies say little about words
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 3, positive_rows: int =
             for positive in (0, 1):
                 yield pa.RecordBatch.from_arrays([pa.array([positive] * len(count[positive]), pa.int32()), pa.array(list(count[positive]), pa.string()), pa.array(list(count[positive].values()), pa.int64())], ["positive", "word", "n"])
 
-    totals = {r["positive"]: r["count"] for r in bags.groupBy("positive").count().collect()}
+    totals = {r["positive"]: r["count"] for r in single.groupBy("positive").count().collect()}
     n_pos, n_unl = totals.get(1, 0), totals.get(0, 0)
     if not n_pos:
         return PuModel([], np.zeros(0), float(np.log(prior / (1 - prior))))
-    counts = bags.select("positive", "words").mapInArrow(counted, "positive int, word string, n long").groupBy("word").agg(F.sum(F.expr("if(positive = 1, n, 0)")).alias("p"), F.sum(F.expr("if(positive = 0, n, 0)")).alias("u"))
+    counts = single.select("positive", "words").mapInArrow(counted, "positive int, word string, n long").groupBy("word").agg(F.sum(F.expr("if(positive = 1, n, 0)")).alias("p"), F.sum(F.expr("if(positive = 0, n, 0)")).alias("u"))
     share = (F.col("p") + 1) / (n_pos + 2), (F.col("u") + 1) / (n_unl + 2)
     # the exponent of Chernoff's bound on so many toxic documents, if the word had its share among the unlabelled
     counts = cut(counts.where(F.col("p") >= min(LEAST_DOCUMENTS, max(1, n_pos // 20))).withColumn("lift", share[0] / share[1]).where("lift > 1"))
@@ -138,20 +140,50 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 3, positive_rows: int =
             rows = [sorted(index[w] for w in set(bag) & index.keys()) for bag in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "positive", "x"])
 
-    rows = sorted(((r["positive"], r["doc_id"], r["x"]) for r in bags.mapInArrow(features, "doc_id long, positive int, x array<int>").collect()))  # at most the sample's rows
-    w, b, _ = fit_nnpu([x for p, _, x in rows if p], [x for p, _, x in rows if not p], len(vocabulary), prior)
-    return PuModel(vocabulary, w, b)
+    rows = sorted(((r["positive"], r["doc_id"], r["x"]) for r in bags.select("doc_id", "positive", "words").mapInArrow(features, "doc_id long, positive int, x array<int>").collect()))  # at most the sample's rows
+    positive, unlabelled = [x for p, _, x in rows if p], [x for p, _, x in rows if not p]
 
+    def scores(w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.array([b + w[x].sum() for x in side]) for side in (positive, unlabelled))
 
-def score(docs: DataFrame, model: PuModel, threshold: float = 0.7) -> DataFrame:
+    w, b, _ = fit_nnpu(positive, unlabelled, len(vocabulary), prior)
+    prior = share_of_positives(*scores(w, b), prior)
+    w, b, _ = fit_nnpu(positive, unlabelled, len(vocabulary), prior)
+    return PuModel(vocabulary, w, b + float(np.log(THRESHOLD / (1 - THRESHOLD))) - best_cut(*scores(w, b), prior))
+
+
+def share_of_positives(positive: np.ndarray, unlabelled: np.ndarray, most: float, least_found: float = 0.3) -> float:
+    """The class prior among the unlabelled: at any score, the unlabelled above it are at least that share of the positives above it.
+
+    Only scores that at least least_found of the positives reach are asked; the labels' rate is the most that it can be.
+    """
+    cuts = np.unique(positive)
+    found, flagged = (positive[:, None] >= cuts).mean(0), (unlabelled[:, None] >= cuts).mean(0)
+    kept = (found >= least_found) & (flagged > 0)
+    return float(min(most, (flagged[kept] / found[kept]).min())) if kept.any() else most
+
+
+def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The score between two neighbours from which on a text counts as toxic: the least non-negative risk, of several the middle of the widest gap."""
+    seen = np.unique(np.concatenate([positive, unlabelled]))
+    cuts = (seen[1:] + seen[:-1]) / 2
+    if not len(cuts):
+        return float(seen[0]) + 1.0 if len(seen) else 0.0
+    p, u = np.sort(positive), np.sort(unlabelled)
+    found, flagged = 1 - np.searchsorted(p, cuts) / max(1, len(p)), 1 - np.searchsorted(u, cuts) / max(1, len(u))
+    risk = prior * (1 - found) + np.maximum(0, flagged - prior * found)
+    return float(cuts[max(np.flatnonzero(risk <= risk.min() + 1e-9), key=lambda k: seen[k + 1] - seen[k])])
+
+
+def score(docs: DataFrame, model: PuModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; null and empty texts get the score of no word.
 
     Repeated rows are scored each; a null doc_id is kept and isn't held out; other columns are dropped.
     """
 
-    @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        return text.map(model.score).astype("float64")
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) for t in text], pa.float64())
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored(F.col("text").cast("string")).alias("score"))
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
