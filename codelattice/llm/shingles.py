@@ -64,8 +64,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, offsets)
 
 
-def shingle_hashes(words: np.ndarray, bounds: np.ndarray, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Hashes of all shingles in order, where each text's begin and the last's end, and the least of `rarity` (a number for each word) in each.
+def shingle_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles in order, and where each text's begin and the last's end.
 
     A text of one to four words has its whole sequence as its only shingle; one without words has none.
     """
@@ -77,17 +77,9 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, rarity: np.ndarray | N
     owner_last = np.repeat(bounds[1:], counts)  # end of each word's text
     full = np.arange(reach) + WORDS <= owner_last[:reach]
     hashes, place = mix(total[full]), np.flatnonzero(full)
-    low = None
-    if rarity is not None:
-        least = rarity[:reach].copy()
-        for k in range(1, WORDS):
-            np.minimum(least, rarity[k : k + reach], out=least)
-        low = least[full]
     short = np.flatnonzero((counts > 0) & (counts < WORDS))
     if len(short):
         extra = np.array([int(mix(np.array([(words[bounds[t] : bounds[t + 1]] * PLACES[: counts[t]]).sum(dtype=np.uint64) + np.uint64(counts[t])], np.uint64))[0]) for t in short], np.uint64)
         at = np.searchsorted(place, bounds[short])
-        if low is not None:
-            low = np.insert(low, at, [rarity[bounds[t] : bounds[t + 1]].min() for t in short])
         hashes, place = np.insert(hashes, at, extra), np.insert(place, at, bounds[short])
-    return hashes, np.searchsorted(place, bounds), low
+    return hashes, np.searchsorted(place, bounds)
