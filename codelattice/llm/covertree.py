@@ -303,3 +303,13 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.95, block_rows: int = BLOCK
     out = all_ids.join(counts, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+walk(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT w.a, l.b FROM walk w JOIN links l ON l.a = w.b),
+low AS (SELECT a, min(b) AS component_id FROM walk GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, low.component_id, v.vec_id = low.component_id AS kept
+FROM v JOIN low ON low.a = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = v.vec_id
+"""

@@ -88,6 +88,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .mixing import ORACLE
+    from . import covertree, jaccard, mixing
 
-    return {"op10_poisson_mix": ORACLE}
+    return {"op5_cover_tree": covertree.ORACLE, "op6_shingle_join": jaccard.ORACLE, "op10_poisson_mix": mixing.ORACLE}
