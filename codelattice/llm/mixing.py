@@ -4,7 +4,7 @@ Each source gets the mean repetition rate that brings it to its share. A documen
 is the inverse of the Poisson distribution with that rate at a uniform number made from a hash of
 seed and doc_id, so it depends on nothing else: neither partitions nor retries change it. Copies are
 dealt to partitions by a second hash and sorted by it there, which is a global shuffle without a
-sampling pass. The table of sources is small and joined as Spark sees fit.
+sampling pass.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import wide
+from .common import cut, wide
 
 #: One draw has a rate of at most this, as exp(-rate) must not vanish; a larger rate is the sum of several draws.
 LARGEST_RATE = 256.0
 SEED = 20
+#: Sources whose rates are sent to all tasks; more are joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 
 
 def uniform(*parts: "Column | str") -> Column:
@@ -63,7 +65,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, size: float = 1.0, so
     that begin with m_, and copy and shuffle_key, are reserved.
     """
     parts = F.ceil(F.col("m_rate") / LARGEST_RATE).cast("int")
-    table = rates(docs, weights, size, source).where("m_rate > 0").withColumn("m_draws", parts).withColumn("m_steps", poisson_steps(F.col("m_rate") / F.col("m_draws")))
+    table = cut(rates(docs, weights, size, source)).where("m_rate > 0").withColumn("m_draws", parts).withColumn("m_steps", poisson_steps(F.col("m_rate") / F.col("m_draws")))
+    if table.count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     joined = docs.join(table, F.col(source).cast("string").eqNullSafe(F.col("m_source")))
     draws = F.aggregate(

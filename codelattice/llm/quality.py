@@ -13,15 +13,19 @@ import operator
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SYMBOLS = b"#$%&*|~^@\\{}<>=+_"
 FEATURES = ("log_words", "word_length", "upper", "symbols", "exclamation", "digits", "spaces", "distinct", "repeats", "line_length", "line_distinct", "non_ascii", "stops")
 MICRO = 1_000_000
 #: Labelled rows that the model is fitted on at most; the smallest by a hash of doc_id.
 FIT_ROWS = 20_000
+#: Paths whose few numbers are sent to all tasks; more are joined by a shuffle.
+BROADCAST_PATHS = 50_000
 
 
 def shape(text: str | None) -> list[float]:
@@ -77,9 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     ids = ids.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows)
 
-    @F.pandas_udf("array<double>")
-    def shapes(text: pd.Series) -> pd.Series:
-        return text.map(shape)
+    @F.arrow_udf("array<double>")
+    def shapes(text: pa.Array) -> pa.Array:
+        return pa.array([shape(t.as_py()) for t in text], pa.list_(pa.float64()))
 
     # the broadcast side has at most fit_rows rows of two numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "quality", shapes("text").alias("x")).toPandas()
@@ -95,12 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
 def evidence(model: Logistic) -> "F.Column":
     """A function of the text column: millionths of the chance that the text is good, from 1 to 999999."""
 
-    @F.pandas_udf("long")
-    def score(text: pd.Series) -> pd.Series:
-        if not len(text):
-            return pd.Series([], dtype="int64")
-        p = model(np.array([shape(t) for t in text]))
-        return pd.Series(np.clip(np.rint(p * MICRO), 1, MICRO - 1).astype(np.int64))
+    @F.arrow_udf("long")
+    def score(text: pa.Array) -> pa.Array:
+        x = np.array([shape(t.as_py()) for t in text]).reshape(-1, len(FEATURES))  # one text at a time, as they may be long
+        return pa.array(np.clip(np.rint(model(x) * MICRO), 1, MICRO - 1).astype(np.int64))
 
     return score
 
@@ -127,11 +129,8 @@ def judge(docs: DataFrame, model: Logistic, host: str = "source", path: Sequence
     keyed = docs.withColumns({h: F.col(host).cast("string"), p: F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(path)]))})
     scored = keyed.withColumn(e, evidence(model)(F.col("text").cast("string")))
     paths = scored.groupBy(h, p).agg(F.count("*").alias("n"), F.sum(e).alias("total"))
-    # one row for each path; written, as the sums are read several times
-    from .common import cut
-
-    paths = cut(paths)
-    all_ = paths.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).head()
+    paths = cut(paths)  # one row for each path, read several times
+    all_ = paths.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("paths")).head()
     mean = (all_["total"] or 0) / (all_["n"] * MICRO) if all_["n"] else 0.5
     mean = min(max(mean, 1e-6), 1 - 1e-6)
     hosts = paths.groupBy(h).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
@@ -140,6 +139,8 @@ def judge(docs: DataFrame, model: Logistic, host: str = "source", path: Sequence
     joined = paths.join(hosts, paths[h].eqNullSafe(hosts[h]), "left").drop(hosts[h])
     kappa_path = _strength(mean, joined, F.col(f"{prefix}host_quality"))
     sites = joined.select(F.col(h).alias(f"{prefix}h2"), F.col(p).alias(f"{prefix}p2"), f"{prefix}host_quality", ((F.col("total") / MICRO + kappa_path * F.col(f"{prefix}host_quality")) / (F.col("n") + kappa_path)).alias(f"{prefix}path_quality"))
+    if all_["paths"] <= BROADCAST_PATHS:
+        sites = F.broadcast(sites)
     out = scored.join(sites, F.col(h).eqNullSafe(F.col(f"{prefix}h2")) & F.col(p).eqNullSafe(F.col(f"{prefix}p2")), "left").drop(f"{prefix}h2", f"{prefix}p2")
 
     def odds(x: Column) -> Column:
