@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, wide
+from .common import arrow_rows, cut, give_back, wide
 from .components import connected
 from .shingles import PLACES, mix, shingle_hashes, word_hashes
 
@@ -60,6 +60,8 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 <<
             n = max(1, min(rows, int(np.searchsorted(ends, before + size, "right")) - k))
             yield batch.slice(k, n)
             k += n
+    batch = ends = None
+    give_back()
 
 
 def shingle_ranks(docs: DataFrame, frequent: int | None = None, bits: int = COUNTER_BITS) -> np.ndarray:

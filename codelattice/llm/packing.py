@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .tokens import encoder
 
 SIZE = 1024
@@ -121,9 +122,8 @@ class Packer:
 
 def sentence_ends(vocabulary: str, spaces: bool) -> np.ndarray:
     """For each id whether its text ends a sentence or a line."""
-    tokenizer = encoder(vocabulary, spaces).tokenizer
     out = np.zeros(1 << 16, bool)
-    for token, i in tokenizer.get_vocab().items():
+    for token, i in encoder(vocabulary, spaces).model()["vocab"].items():
         out[i] = token.removesuffix("</w>").endswith((".", "!", "?", "Ċ"))
     return out
 
@@ -156,5 +156,7 @@ def pack(docs: DataFrame, vocabulary: str, spaces: bool = True, end: int = 0, si
                     if packer.held >= BLOCK_TOKENS:
                         yield batch_of(packer.flush(last=False))
         yield batch_of(packer.flush(last=True))
+        packer = batch = part = None
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 
 SYMBOLS = b"#$%&*|~^@\\{}<>=+_"
 FEATURES = ("log_words", "word_length", "upper", "symbols", "exclamation", "digits", "spaces", "distinct", "repeats", "line_length", "line_distinct", "non_ascii", "stops")
@@ -102,6 +102,7 @@ def evidence(model: Logistic) -> "F.Column":
     @F.arrow_udf("long")
     def score(text: pa.Array) -> pa.Array:
         x = np.array([shape(t.as_py()) for t in text]).reshape(-1, len(FEATURES))  # one text at a time, as they may be long
+        give_back()
         return pa.array(np.clip(np.rint(model(x) * MICRO), 1, MICRO - 1).astype(np.int64))
 
     return score

@@ -41,12 +41,9 @@ class Encoder:
 
     def __init__(self, path: str, spaces: bool):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        self.path, self._tokenizer = path, None
+        model = self.model()
         if len(model["vocab"]) > 1 << 16:
             raise ValueError("ids don't fit 16 bits")
         self.spaces, symbol = spaces, byte_of_symbol()
@@ -69,6 +66,20 @@ class Encoder:
         kinds = [unicodedata.category(c)[0] for c in map(chr, range(256))]
         self.kind = np.array([0 if chr(i).isspace() and i not in (28, 29, 30, 31) else 1 if k == "L" else 2 if k == "N" else 3 for i, k in enumerate(kinds)], np.uint8)
 
+    def model(self) -> dict:
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)["model"]
+
+    @property
+    def tokenizer(self):
+        """The library's own, loaded when a text needs it."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+            self._tokenizer.encode_special_tokens = True
+        return self._tokenizer
+
     def slow(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 

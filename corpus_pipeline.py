@@ -19,13 +19,24 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+#: Rows that a job sends to Python at once. Texts are long, a batch is held several times over, and executors may be small.
+ARROW_ROWS = 500
+
+
+def lean(spark: SparkSession) -> None:
+    """Sets the session so that jobs planned from now on, by a stage's caller too, send small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    lean(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
+    lean(spark)
     return jaccard.keep_one(docs).select(*COLUMNS)
 
 
@@ -41,6 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens, in the order of the mix."""
+    lean(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
