@@ -95,6 +95,11 @@ def seeds(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind <> 'Type' AND p_partkey % 97 = 0").select(F.col("qualified_name").alias("seed"))
 
 
+def symbols(nodes: DataFrame) -> DataFrame:
+    """Every symbol but types, as seeds; the queries that end in _all walk from all of them and have no SQL, which would be too slow."""
+    return nodes.where("kind <> 'Type'").select(F.col("qualified_name").alias("seed"))
+
+
 def changed(nodes: DataFrame) -> DataFrame:
     return nodes.where("p_partkey % 17 = 0").select("file").distinct()
 
@@ -183,6 +188,14 @@ def federate_cross_edges(spark, sf_dir):
 # ---- traversal
 
 
+def first_callers(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """seed, callers_total, callers: how many callers each seed has, and the first five by name."""
+    from ..review import capped
+
+    got = capped(G.callers_of(edges), 5)
+    return of.join(got, F.col("seed") == F.col("node"), "left").select("seed", F.coalesce("total", F.lit(0)).cast("long").alias("callers_total"), F.coalesce(F.array_join("others", "|"), F.lit("")).alias("callers"))
+
+
 @query(EDGES + f""", {SEEDS},
 walk(seed, node, hop) AS (
   SELECT seed, seed, 0 FROM seeds UNION SELECT w.seed, e.source, w.hop + 1 FROM walk w JOIN sure e ON e.target = w.node WHERE w.hop < 3)
@@ -201,6 +214,18 @@ def impact_forward_depth3(spark, sf_dir):
     return G.impact(g.edges, seeds(g.nodes), 3, forward=True)
 
 
+@query()
+def impact_depth3_all(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return G.impact(g.edges, symbols(g.nodes), 3)
+
+
+@query()
+def impact_forward_depth3_all(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return G.impact(g.edges, symbols(g.nodes), 3, forward=True)
+
+
 @query(EDGES + """, walk(seed, node, hop) AS (
   SELECT qualified_name, qualified_name, 0 FROM nodes WHERE kind <> 'Type' AND p_partkey % 5 = 0
   UNION SELECT w.seed, e.source, w.hop + 1 FROM walk w JOIN (SELECT DISTINCT source, target FROM sure) e ON e.target = w.node WHERE w.hop < 2)
@@ -211,6 +236,12 @@ def impact_multi_seed(spark, sf_dir):
     return G.impact(g.edges, many, 2).groupBy("seed").agg(F.count("*").alias("impact"))
 
 
+@query()
+def impact_multi_seed_all(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return G.impact(g.edges, symbols(g.nodes), 3).groupBy("seed").agg(F.count("*").alias("impact"))
+
+
 @query(EDGES + " SELECT DISTINCT target AS node, source AS other FROM sure_calls")
 def callers(spark, sf_dir):
     return G.callers_of(graph(spark, sf_dir).edges)
@@ -253,6 +284,12 @@ def path_lengths(spark, sf_dir):
     return G.reach(G.arcs(g.edges, True), seeds(g.nodes), 6, keep_seed=True).groupBy("hop").agg(F.count("*").alias("n"))
 
 
+@query()
+def path_lengths_all(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return G.reach(G.arcs(g.edges, True), symbols(g.nodes), 6, keep_seed=True).groupBy("hop").agg(F.count("*").alias("n"))
+
+
 @query(EDGES + """, place AS (SELECT qualified_name, CASE WHEN contains(file, '/') THEN split_part(file, '/', 1) ELSE '(root)' END AS top, file FROM nodes)
 SELECT least(s.file, t.file) AS a, greatest(s.file, t.file) AS b, count(*) AS weight FROM sure_calls e JOIN place s ON s.qualified_name = e.source JOIN place t ON t.qualified_name = e.target
 WHERE s.file <> t.file GROUP BY ALL""")
@@ -519,11 +556,14 @@ def incremental_delta(spark, sf_dir):
 c AS (SELECT DISTINCT target AS node, source AS other FROM sure_calls), k AS (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY other) AS place, count(*) OVER (PARTITION BY node) AS total FROM c)
 SELECT seed, coalesce(max(total), 0) AS callers_total, coalesce(string_agg(other, '|' ORDER BY other) FILTER (place <= 5), '') AS callers FROM s LEFT JOIN k ON node = seed GROUP BY seed""")
 def review_callers(spark, sf_dir):
-    from ..review import capped
+    g = graph(spark, sf_dir)
+    return first_callers(g.edges, seeds(g.nodes))
+
 
+@query()
+def review_callers_all(spark, sf_dir):
     g = graph(spark, sf_dir)
-    got = capped(G.callers_of(g.edges), 5)
-    return seeds(g.nodes).join(got, F.col("seed") == F.col("node"), "left").select("seed", F.coalesce("total", F.lit(0)).cast("long").alias("callers_total"), F.coalesce(F.array_join("others", "|"), F.lit("")).alias("callers"))
+    return first_callers(g.edges, symbols(g.nodes))
 
 
 @query(DERIVED + " SELECT count(DISTINCT file) AS files, count(*) AS nodes FROM nodes")
