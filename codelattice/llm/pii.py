@@ -39,7 +39,9 @@ _CLASS = {c: (k, i) for k, letters in enumerate(CLASSES) for i, c in enumerate(l
 _GIVEN = {name: (place, i) for place, names in GIVEN.items() for i, name in enumerate(names)}
 _TITLES = {t: g for g, titles in TITLES.items() for t in titles}
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё'’-]+"
-_TRIGGERS = frozenset([*_TITLES, *(t + "." for t in _TITLES), *_GIVEN])
+#: NAME begins with one of these between two places where \b holds, so it is a whole run of word characters.
+_TRIGGERS = frozenset([*_TITLES, *_GIVEN])
+_WORDS = re.compile(r"\w+")
 
 ENTITY = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
@@ -199,7 +201,7 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
             if kind == "iban" and sum(c.isdigit() for c in m[0]) < 10:
                 continue
             out.append((m.start(), m.end(), kind))
-    if not _TRIGGERS.isdisjoint(text.split()):
+    if not _TRIGGERS.isdisjoint(_WORDS.findall(text)):
         for m in NAME.finditer(text):
             group = "titled" if m["titled"] else "named"
             out.append((m.start(group), m.end(group), "name"))
