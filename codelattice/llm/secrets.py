@@ -145,22 +145,38 @@ def votes(f: Column, trees: list[Tree]) -> Column:
 
 
 def found(text: Column, path: Column, trees: list[Tree], least: float) -> Column:
-    """An array of value, start (from 0), times, probability: the distinct secrets of a text, by their first place."""
-    safe = F.coalesce(text, F.lit(""))
-    values = F.array_distinct(F.regexp_extract_all(safe, F.lit(CANDIDATE), F.lit(0)))
+    """An array of value, start (from 0), times, probability: the distinct secrets of a text, by their first place.
 
-    placed = F.transform(values, lambda v: F.struct(v.alias("value"), F.call_function("locate", v, safe).alias("at")))
-    site = F.coalesce(path, F.lit(""))
+    Every match is judged beside its own neighbours; a value is a secret if any of its matches is voted one, and has the probability of the first such match.
+    """
+    safe, site = F.coalesce(text, F.lit("")), F.coalesce(path, F.lit(""))
+    bound = lambda c, f: F.flatten(F.transform(F.array(c), f))  # noqa: E731  # f of c, which is evaluated once
+
+    def seen(parts: Column) -> Column:
+        """The matches and what is around them: parts of the text between matches, and matches of 16 characters at least, so that three of them span BEFORE."""
+        match, gap = lambda i: F.get(parts["matches"], i), lambda i: F.get(parts["gaps"], i)
+
+        def one(v: Column, i: Column) -> Column:
+            before = F.right(F.concat_ws("", match(i - 3), gap(i - 2), match(i - 2), gap(i - 1), match(i - 1), gap(i)), F.lit(BEFORE))
+            after = F.substring(F.concat_ws("", gap(i + 1), match(i + 1)), 1, AFTER)
+            return F.struct(v.alias("value"), before.alias("before"), after.alias("after"))
 
-    def seen(c: Column) -> Column:
-        start = F.greatest(c["at"] - BEFORE, F.lit(1))
-        before, after = F.substring(safe, start, c["at"] - start), F.substring(safe, c["at"] + F.length(c["value"]), F.lit(AFTER))
-        return F.struct(c["value"].alias("value"), c["at"].alias("at"), *[x.alias(f"f{i}") for i, x in enumerate(features(c["value"], before, after, site))])
+        return F.transform(parts["matches"], one)
 
-    judged = F.transform(F.transform(placed, seen), lambda f: F.struct(f["value"].alias("value"), f["at"].alias("at"), votes(f, trees).alias("probability")))
+    sites = bound(F.struct(F.regexp_extract_all(safe, F.lit(CANDIDATE), F.lit(0)).alias("matches"), F.split(safe, CANDIDATE, -1).alias("gaps")), seen)
+    described = F.transform(sites, lambda c: F.struct(c["value"].alias("value"), *[x.alias(f"f{i}") for i, x in enumerate(features(c["value"], c["before"], c["after"], site))]))
+    judged = F.transform(described, lambda f: F.struct(f["value"].alias("value"), votes(f, trees).alias("probability")))
     kept = F.filter(judged, lambda s: s["probability"] >= least)
-    times = lambda s: F.floor((F.length(safe) - F.length(F.replace(safe, s["value"], F.lit("")))) / F.length(s["value"]))
-    return F.array_sort(F.transform(kept, lambda s: F.struct((s["at"] - 1).cast("long").alias("start"), s["value"].alias("value"), times(s).cast("long").alias("times"), s["probability"].alias("probability"))))
+    times = lambda v: F.floor((F.length(safe) - F.length(F.replace(safe, v, F.lit("")))) / F.length(v))
+
+    def secret(names: Column, probabilities: Column) -> Column:
+        return F.transform(F.array_distinct(names), lambda v: F.struct(
+            (F.call_function("locate", v, safe) - 1).cast("long").alias("start"), v.alias("value"), times(v).cast("long").alias("times"),
+            F.get(probabilities, (F.array_position(names, v) - 1).cast("int")).alias("probability"),
+        ))
+
+    lists = F.struct(F.transform(kept, lambda s: s["value"]).alias("names"), F.transform(kept, lambda s: s["probability"]).alias("probabilities"))
+    return F.array_sort(bound(lists, lambda k: secret(k["names"], k["probabilities"])))
 
 
 def scan(docs: DataFrame, path: str = "source", least: float = 0.5, trees: list[Tree] | None = None) -> DataFrame:
