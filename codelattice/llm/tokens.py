@@ -8,11 +8,15 @@ where they are provably the same, and the library itself everywhere else:
   apostrophe are cut into pieces by numpy from a table of character classes. Each piece gets a
   terminator, which plays the part of the word-end mark: merging a byte with it has the lowest
   ranks, so it comes first, and then the file's merges follow in their order.
+
+A text that holds one of the file's added tokens (`<|endoftext|>`) goes to the library as it is, which
+by default gives that token's own id.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -43,6 +47,10 @@ class Encoder:
         import tiktoken
 
         self.path, self._tokenizer = path, None
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"].lower() for t in json.load(f).get("added_tokens") or []]
+        # the first characters of added tokens, in either case; most texts have none of them
+        self.first = re.compile("[" + re.escape("".join(sorted({c for t in self.added for c in (t[:1], t[:1].upper())}))) + "]" if self.added else r"(?!)")
         model = self.model()
         if len(model["vocab"]) > 1 << 16:
             raise ValueError("ids don't fit 16 bits")
@@ -77,7 +85,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._tokenizer = Tokenizer.from_file(self.path)
-            self._tokenizer.encode_special_tokens = True
         return self._tokenizer
 
     def slow(self, text: str) -> np.ndarray:
@@ -86,6 +93,8 @@ class Encoder:
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint16)
+        if self.first.search(text) and any(t in text.lower() for t in self.added):
+            return self.slow(text)
         if self.spaces:
             return self.ids[self.fast.encode_to_numpy(text, disallowed_special=())]
         if "'" in text or TERMINATOR in text:

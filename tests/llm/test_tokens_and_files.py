@@ -1,5 +1,6 @@
 """Packing and wavelet shards: exact round trips against the tokenizers library, and optimal cuts against a plain search."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -15,13 +16,17 @@ from codelattice.llm.tokens import Encoder, encoder
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+@functools.cache
+def loaded(name):
+    return Tokenizer.from_file(vocabulary(name))  # as it comes, so that added tokens in a text get their ids
+
+
 def library(name, texts):
-    t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
+    t = loaded(name)
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-ODD = ["", " ", "a  b", "\n\n x", "don't 's 're", "<|endoftext|> <|startoftext|>", "É́ a ́b Σας ΣΑΣ İx", "²³¼ ªº µ ÿ \x1c\x1d a\x85b\xa0c", "\x00a b\x00", "12 345 a1b2 __x_y", "日本 語　x"]
+ODD = ["", " ", "a  b", "\n\n x", "don't 's 're", "<|endoftext|> <|startoftext|>", "hello<|endoftext|>", "<|ENDOFTEXT|> x <|endoftext", "日本<|endoftext|>\n<|startoftext|>b", "a < b > c", "É́ a ́b Σας ΣΑΣ İx", "²³¼ ªº µ ÿ \x1c\x1d a\x85b\xa0c", "\x00a b\x00", "12 345 a1b2 __x_y", "日本 語　x"]
 
 
 @pytest.mark.parametrize("name,spaces", [(BYTE, True), (WORD, False)])
