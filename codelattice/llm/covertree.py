@@ -8,6 +8,10 @@ dropped when their centres are farther apart than the threshold plus both coveri
 whole when even the farthest members are near enough, and opened otherwise. Opening compares all
 children with one matrix product, in double precision. Pairs are counted, never listed: a task
 returns for each vector its number of links and one link to its smallest relative there.
+
+Blocks are shipped to pairs of groups of SUPER blocks: a task holds the trees of one group and streams
+those of the other past them, so a tree travels once for each group that may be near, not once for each
+block. Which groups may be near is known beforehand from the cells' pivots and covering radii.
 """
 
 from __future__ import annotations
@@ -21,14 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import arrow_rows, cut
 from .components import connected
 from .vectors import matrix, unit, usable
 
-BLOCK_ROWS = 8192
+#: A block has at most about so many rows, and bytes of vectors; a task holds the trees of so many blocks.
+BLOCK_ROWS, BLOCK_BYTES, SUPER = 8192, 1 << 24, 4
+#: Cells at most, whatever the rows; beyond them cells are split by hash. The driver sees a row for each cell.
 MAX_PIVOTS = 1024
-#: Blocks whose pivots (a vector each) are sent to all tasks; more are joined by Spark's own choice.
-BROADCAST_BLOCKS = 4096
+#: Partitions at most for pairs of groups; each streams its pairs one after the other.
+MOST_TASKS = 20_000
+#: Rows of a product of vectors at once.
+TILE = 1024
 LEAF = 48
 SLACK = 1e-9
 
@@ -152,17 +160,20 @@ def dual(one: CoverTree, two: CoverTree, cosine: float, same: bool) -> Links:
 
     def direct(a: np.ndarray, b: np.ndarray, ranks: tuple[np.ndarray, np.ndarray] | None, without: list[tuple[slice, slice]]) -> None:
         """All pairs of a and b, but for some stretches; with ranks only those of a lower and a higher rank."""
-        hit = one.x[a] @ two.x[b].T >= cosine
-        for rows, columns in without:
-            hit[rows, columns] = False
-        i, j = np.nonzero(hit)
-        if ranks is not None:
-            kept = ranks[0][i] < ranks[1][j]
-            i, j = i[kept], j[kept]
-        if len(i):
-            left, right = a[i], b[j] + shift
-            links.count[:] += np.bincount(left, minlength=len(links.count)) + np.bincount(right, minlength=len(links.count))
-            links.join(left, right)
+        right_side = two.x[b].T
+        for k in range(0, len(a), TILE):
+            hit = one.x[a[k : k + TILE]] @ right_side >= cosine
+            for rows, columns in without:
+                hit[max(0, rows.start - k) : max(0, rows.stop - k), columns] = False
+            i, j = np.nonzero(hit)
+            i += k
+            if ranks is not None:
+                kept = ranks[0][i] < ranks[1][j]
+                i, j = i[kept], j[kept]
+            if len(i):
+                left, right = a[i], b[j] + shift
+                links.count[:] += np.bincount(left, minlength=len(links.count)) + np.bincount(right, minlength=len(links.count))
+                links.join(left, right)
 
     def parts(tree: CoverTree, node: int) -> np.ndarray:
         begin, end = tree.child[node]
@@ -219,87 +230,125 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
         return {k: got[k] for k in got.files}
 
 
-def _blocks(good: DataFrame, block_rows: int, seed: int) -> DataFrame:
-    """block, pivot, radius, tree: one row for each block of at most about block_rows vectors."""
-    spark = good.sparkSession
-    n = good.count()
-    pivots_n = max(1, min(MAX_PIVOTS, -(-n // block_rows)))
-    chosen = good.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(pivots_n).collect()
-    if not chosen:
-        return spark.createDataFrame([], "block long, pivot array<double>, radius double, tree binary")
-    pivots = unit(np.array([r["embedding"] for r in chosen], np.float64))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                got = unit(matrix(part.column(1))) @ pivots.T
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got.argmax(1), pa.int64())], ["vec_id", "embedding", "cell"])
-
-    placed = cut(good.select("vec_id", "embedding").mapInArrow(near, "vec_id long, embedding array<double>, cell long"))
-    chunks = {r["cell"]: -(-r["count"] // block_rows) for r in placed.groupBy("cell").count().collect()}  # at most MAX_PIVOTS rows
-    first, at = [], 0
-    for cell in range(pivots_n):
-        first.append((cell, at, chunks.get(cell, 1)))
-        at += chunks.get(cell, 1)
-    starts = F.element_at(F.array(*[F.lit(s) for _, s, _ in first]), F.col("cell").cast("int") + 1)
-    counts = F.element_at(F.array(*[F.lit(c) for _, _, c in first]), F.col("cell").cast("int") + 1)
-    placed = placed.withColumn("block", (starts + F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), counts)).cast("long"))
-
-    def build(key, data):
-        data = data.sort_by("vec_id")
-        x = unit(matrix(data.column("embedding").combine_chunks()))
-        pivot = pivots[data.column("cell")[0].as_py()]
-        radius = float(np.sqrt(np.maximum(0, 2 - 2 * (x @ pivot)).max())) + SLACK
-        blob = _pack(ids=data.column("vec_id").to_numpy(), **CoverTree(x).arrays())
-        return pa.table({"block": [key[0].as_py()], "pivot": [pivot.tolist()], "radius": [radius], "tree": pa.array([blob], pa.large_binary()).cast(pa.binary())})
-
-    return cut(placed.groupBy("block").applyInArrow(build, "block long, pivot array<double>, radius double, tree binary"))
+def _placed(good: DataFrame, block_rows: int, seed: int) -> tuple[DataFrame | None, list[tuple]]:
+    """Every vector with its cell and block (none without vectors), and for each cell its pivot, covering radius, first block and the one after its last. A cell's vectors have one length."""
+    lengths = good.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").collect()  # a row for each length of vectors
+    parts, pivots, blocks = None, [], 0
+    for r in lengths:
+        d, rows = r["d"], max(1, min(block_rows, BLOCK_BYTES // (8 * r["d"])))
+        own = good.where(F.col("d") == d)
+        chosen = own.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(max(1, min(MAX_PIVOTS, -(-r["n"] // rows)))).collect()
+        centres = unit(np.array([c["embedding"] for c in chosen], np.float64))
+        centres = centres[_chain(centres)]  # near cells get near numbers, and so come into one group
+
+        def near(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres, cells: int = len(pivots)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 4096):
+                    part = batch.slice(k, 4096)
+                    got = unit(matrix(part.column(1))) @ centres.T
+                    best = got.argmax(1)
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * got[np.arange(len(best)), best]))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best + cells, pa.int64()), pa.array(apart)], ["vec_id", "embedding", "cell", "apart"])
+
+        one = cut(own.select("vec_id", "embedding").mapInArrow(near, "vec_id long, embedding array<double>, cell long, apart double"))
+        found = {c["cell"]: c for c in one.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()}  # at most MAX_PIVOTS rows
+        cells = range(len(pivots), len(pivots) + len(centres))
+        chunks = [-(-found[c]["n"] // rows) if c in found else 1 for c in cells]
+        begins = (blocks + np.cumsum([0, *chunks])).tolist()
+        blocks = begins[-1]
+        at = (F.col("cell") - len(pivots) + 1).cast("int")
+        start, n = F.element_at(F.array(*map(F.lit, begins[:-1])), at), F.element_at(F.array(*map(F.lit, chunks)), at)
+        one = one.withColumn("block", (start + F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), n)).cast("long"))
+        parts = one if parts is None else parts.unionByName(one)
+        pivots += [(p, found[c]["radius"] + SLACK if c in found else 0.0, s, s + k) for c, p, s, k in zip(cells, centres, begins, chunks)]
+    return parts, pivots
+
+
+def _chain(centres: np.ndarray) -> list[int]:
+    """An order of a few centres in which each is followed by the nearest of the rest."""
+    order, rest = [0], set(range(1, len(centres)))
+    dots = centres @ centres.T
+    while rest:
+        left = sorted(rest)
+        best = left[int(np.argmax(dots[order[-1], left]))]
+        order.append(best)
+        rest.remove(best)
+    return order
+
+
+def _near_groups(spark, pivots: list[tuple], limit: float) -> DataFrame:
+    """i, j: the pairs of groups of SUPER blocks that can hold a link, i <= j, from the cells' covering radii.
+
+    The cells are at most MAX_PIVOTS for each length of vectors; the groups of a cell are as many as its rows need.
+    """
+    near = []
+    for i, (p, r, _, _) in enumerate(pivots):
+        for j in range(i, len(pivots)):
+            q, s = pivots[j][:2]
+            if len(p) == len(q) and math.sqrt(max(0.0, 2 - 2 * float(p @ q))) - r - s <= limit + 1e-6:
+                near.append((i, j))
+    cells = spark.createDataFrame([(c, s // SUPER, (e - 1) // SUPER) for c, (_, _, s, e) in enumerate(pivots)], "c long, low long, high long")
+    groups = cells.select("c", F.explode(F.sequence("low", "high")).alias("g"))
+    pairs = spark.createDataFrame(near, "c1 long, c2 long")
+    both = pairs.join(groups.select(F.col("c").alias("c1"), F.col("g").alias("g1")), "c1").join(groups.select(F.col("c").alias("c2"), F.col("g").alias("g2")), "c2")
+    return both.select(F.least("g1", "g2").alias("i"), F.greatest("g1", "g2").alias("j")).distinct()
 
 
 def near_pairs(vectors: DataFrame, cosine: float = 0.95, block_rows: int = BLOCK_ROWS, seed: int = 17) -> DataFrame:
     """vec_id, n_links, component_id, kept for each distinct non-null vec_id of `vectors`.
 
     Links are pairs with cosine >= the threshold, compared in double precision. Vectors that are null,
-    empty or zero, have a null or non-finite component, or another length than the longest, link with nothing. Of
-    rows that repeat a vec_id the smallest vector counts. An empty table gives an empty result.
+    empty or zero, or have a null or non-finite component, link with nothing; vectors link with those of
+    their own length only. Of rows that repeat a vec_id the smallest vector counts. An empty table gives an empty result.
     """
     if not 0.5 < cosine < 1:
         raise ValueError("the threshold must lie between 0.5 and 1")
-    good = usable(vectors)
-    blocks = _blocks(good, block_rows, seed)
-    limit = math.sqrt(2 - 2 * cosine)
-    a = blocks.select(F.col("block").alias("i"), F.col("pivot").alias("pi"), F.col("radius").alias("ri"))
-    b = blocks.select(F.col("block").alias("j"), F.col("pivot").alias("pj"), F.col("radius").alias("rj"))
-    dot = F.aggregate(F.zip_with("pi", "pj", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
-    # blocks, not vectors, meet here: there are rows / block_rows of them, and far ones are dropped by their covering radii
-    if blocks.count() <= BROADCAST_BLOCKS:
-        b = F.broadcast(b)
-    pairs = a.join(b, (F.col("i") <= F.col("j")) & (apart - F.col("ri") - F.col("rj") <= limit + 1e-6)).select("i", "j")
-    n_pairs = pairs.count()
-    if not n_pairs:
-        none = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
-        return none.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    trees = blocks.select("block", "tree")
-    work = pairs.join(trees.select(F.col("block").alias("i"), F.col("tree").alias("one")), "i").join(trees.select(F.col("block").alias("j"), F.col("tree").alias("two")), "j").repartition(n_pairs, "i", "j")
+    spark = vectors.sparkSession
+    good = cut(usable(vectors).withColumn("d", F.size("embedding")))
+    all_ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
+    placed, pivots = _placed(good, block_rows, seed)
+    if placed is None:
+        return all_ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+
+    def build(key, data):
+        data = data.sort_by("vec_id")
+        x = unit(matrix(data.column("embedding").combine_chunks()))
+        blob = _pack(ids=data.column("vec_id").to_numpy(), **CoverTree(x).arrays())
+        return pa.table({"block": [key[0].as_py()], "tree": pa.array([blob], pa.large_binary()).cast(pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held = None, []
+
+        def links_of(p: dict, q: dict, same: bool) -> pa.RecordBatch:
+            links = dual(CoverTree.of(p), CoverTree.of(q), cosine, same)
+            ids = p["ids"] if same else np.concatenate([p["ids"], q["ids"]])
+            root = links.settle()
+            seen = np.flatnonzero(links.count)
+            return pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(links.count[seen]), pa.array(ids[root[seen]])], ["vec_id", "links", "other"])
+
         for batch in batches:
             for k in range(batch.num_rows):
-                i, j = batch.column("i")[k].as_py(), batch.column("j")[k].as_py()
-                p = _unpack(batch.column("one")[k].as_py())
-                q = p if i == j else _unpack(batch.column("two")[k].as_py())
-                links = dual(CoverTree.of(p), CoverTree.of(q), cosine, i == j)
-                ids = p["ids"] if i == j else np.concatenate([p["ids"], q["ids"]])
-                root = links.settle()
-                seen = np.flatnonzero(links.count)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(links.count[seen]), pa.array(ids[root[seen]])], ["vec_id", "links", "other"])
-
-    found = cut(work.select("i", "j", "one", "two").mapInArrow(run, "vec_id long, links long, other long"))
+                now = batch.column("i")[k].as_py(), batch.column("j")[k].as_py()
+                if now != pair:
+                    pair, held = now, []
+                tree = _unpack(batch.column("tree")[k].as_py())
+                role, alone = batch.column("role")[k].as_py(), now[0] == now[1]
+                if alone:
+                    yield links_of(tree, tree, True)
+                for other in held if role or alone else ():
+                    if other["x"].shape[1] == tree["x"].shape[1]:
+                        yield links_of(other, tree, False)
+                if not role:
+                    held.append(tree)
+
+    with arrow_rows(spark, SUPER):  # a row holds a tree
+        trees = cut(placed.groupBy("block").applyInArrow(build, "block long, tree binary")).withColumn("g", F.expr(f"block div {SUPER}"))
+        pairs = cut(_near_groups(spark, pivots, math.sqrt(2 - 2 * cosine)))
+        sides = pairs.select("i", "j", F.lit(0).alias("role"), F.col("i").alias("g")).unionByName(pairs.where("i <> j").select("i", "j", F.lit(1).alias("role"), F.col("j").alias("g")))
+        work = sides.join(trees, "g").select("i", "j", "role", "block", "tree").repartition(min(4 * pairs.count(), MOST_TASKS), "i", "j").sortWithinPartitions("i", "j", "role", "block")
+        found = cut(work.mapInArrow(run, "vec_id long, links long, other long"))
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     groups = connected(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    all_ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
     out = all_ids.join(counts, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from codelattice.llm import collision, components, covertree, jaccard, shingles
+from codelattice.llm import collision, components, covertree, jaccard, shingles, vectors
 from codelattice.llm.vectors import unit
 
 VECTORS = "vec_id long, embedding array<double>, label int"
@@ -164,10 +164,10 @@ BAD = [(1, None, 1), (2, [0.0, 0.0], None), (3, [1.0, None], 1), (4, [float("nan
 
 
 def test_cover_tree_odd_vectors(spark):
-    df = spark.createDataFrame([*BAD, (7, [1.0, 0.0], 1), (8, [2.0, 0.0], 2), (8, [2.0, 0.0], 2), (9, [1e200, 1e-200], None), (10, [0.0, 1.0], 0), (11, [1.0], 0)], VECTORS)
+    df = spark.createDataFrame([*BAD, (7, [1.0, 0.0], 1), (8, [2.0, 0.0], 2), (8, [2.0, 0.0], 2), (9, [1e200, 1e-200], None), (10, [0.0, 1.0], 0), (11, [1.0], 0), (12, [1.0, 0.0, 0.0], 0), (13, [3.0], 0)], VECTORS)
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in covertree.near_pairs(df).collect()}
-    alone = {i: (0, i, True) for i in (1, 2, 3, 4, 5, 6, 10, 11)}
-    assert got == alone | {7: (2, 7, True), 8: (2, 7, False), 9: (2, 7, False)}
+    alone = {i: (0, i, True) for i in (1, 2, 3, 4, 5, 6, 10, 12)}
+    assert got == alone | {7: (2, 7, True), 8: (2, 7, False), 9: (2, 7, False), 11: (1, 11, True), 13: (1, 11, False)}
     assert covertree.near_pairs(spark.createDataFrame([], VECTORS)).count() == 0
     assert covertree.near_pairs(spark.createDataFrame(BAD[:2], VECTORS)).count() == 2
 
@@ -190,7 +190,33 @@ def test_search_recall_and_scores(spark):
 
 
 def test_search_odd_vectors(spark):
-    df = spark.createDataFrame([*BAD, (50, [1.0, 0.0], 0), (100, [1.0, 0.0], 0), (101, [2.0, 0.0], 0), (101, [2.0, 0.0], 0), (99, [-1.0, 0.0], 0)], VECTORS)
+    df = spark.createDataFrame([*BAD, (500, [1.0, 0.0, 0.0], 0), (501, [1.0, 0.0, 0.0, 0.0], 0), (50, [1.0, 0.0], 0), (100, [1.0, 0.0], 0), (101, [2.0, 0.0], 0), (101, [2.0, 0.0], 0), (99, [-1.0, 0.0], 0)], VECTORS)
     got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in collision.search(df).orderBy("query_id", "rank").collect()]
     assert got == [(50, 1, 100, 1.0), (50, 2, 101, 1.0), (50, 3, 99, -1.0), (100, 1, 50, 1.0), (100, 2, 101, 1.0), (100, 3, 99, -1.0)]
     assert collision.search(spark.createDataFrame([(50, [1.0], 0)], VECTORS)).count() == 0 and collision.search(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_search_gives_ties_to_the_smaller_id(spark):
+    """Many equal vectors over several shards, some of them scaled by powers of two: the five smallest ids other than the query's own, whatever the shards."""
+    r = np.random.default_rng(8)
+    one, rest = r.standard_normal(23), r.standard_normal((150, 23))
+    rows = [(i, (one * 2.0 ** (i % 3)).tolist() if i % 4 == 1 or i in (0, 50, 100) else rest[i % 150].tolist(), 0) for i in range(300)]
+    df = spark.createDataFrame(rows, VECTORS)
+    x, ids = unit(np.array([v for _, v, _ in rows])), np.arange(300)
+    for shard_rows in (1_000, 70, 9):
+        got = defaultdict(list)
+        for row in collision.search(df, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+            got[row["query_id"]].append((row["vec_id"], row["score"]))
+        assert set(got) == {0, 50, 100, 150, 200, 250}
+        for q, found in got.items():
+            score = (x * x[q]).sum(axis=1)
+            order = [i for i in np.lexsort((ids, -score)) if i != q][:5]
+            if q <= 100 or shard_rows == 9:
+                assert [v for v, _ in found] == order
+            assert all(s == score[v] for v, s in found)
+
+
+def test_distinct_rows():
+    x = np.array([[1.0, 2.0], [0.0, 1.0], [1.0, 2.0], [-0.0, 1.0]])
+    first, group = vectors.distinct_rows(x)
+    assert len(first) == 2 and group[0] == group[2] and group[1] == group[3]
