@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-#: Edges that one task joins by itself (16 bytes each); more are contracted over the cluster.
+#: Edges that one task joins by itself (16 bytes each); more are contracted over the cluster, with the same result.
 LOCAL_EDGES = 100_000
 
 
@@ -43,13 +43,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head())
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, rounds: int = 60, local: int = LOCAL_EDGES) -> DataFrame:
     """node, component (smallest node) for every node of edges (a, b) but the components' smallest nodes.
 
     Loops, repeated edges and rows with a null end are allowed and change nothing.
     """
     raw = cut(edges.where("a <> b").select("a", "b"))
-    if raw.count() <= LOCAL_EDGES:
+    if raw.count() <= local:
         return cut(raw.coalesce(1).mapInArrow(_local, "node long, component long"))
     now = cut(raw.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)
@@ -57,9 +57,11 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = now.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(now.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+        # written before the joins, so that these have a shuffle on both sides and Spark splits a star's centre
+        low = cut(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")))
         large = both.where("m > n").join(low, "n").select(F.col("m").alias("u"), F.col("low").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("low")))
         small = large.join(least, "u").where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select("u", F.col("low").alias("v")))
         now = cut(small.distinct())
         before, state = state, _state(now)

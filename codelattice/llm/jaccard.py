@@ -3,8 +3,8 @@
 Tokens are shingles, in one global order: rarer first, by counters that shingles share by their
 hashes. Of a set of n tokens at most n // 4 can be missing in a set that it links with. Its prefix
 is extended until the signatures made from it can't all be lost to so many tokens: a rare token is a
-signature by itself; frequent tokens fall into GROUPS groups by their hash, and every two of a group
-in the prefix make a signature, so a group's first token adds nothing to the count. Two sets that link
+signature by itself; frequent tokens fall into groups by their hash, the more the larger the set, and every two of
+a group in the prefix make a signature, so a group's first token adds nothing to the count. Two sets that link
 then share a signature (prefix filtering with k-token combinations; Wang et al., 2016). Sets of at
 most SHORT tokens, whose frequent tokens may not suffice for that, are indexed a second way, by single tokens, with
 all sets of a size that may link with them.
@@ -33,10 +33,13 @@ from .shingles import PLACES, mix, shingle_hashes, word_hashes
 
 #: Counters of shingles; the table is sent to all tasks (a byte each), whatever the input's size.
 COUNTER_BITS = 22
-GROUPS, SHORT = 32, 44
+GROUPS, SHORT = 32, 44  # groups at least
 #: Sets that a group compares with all its others, by round; from then on ever more.
 ROUND_HUBS = (8, 64, 512)
-BLOOM_BITS = 22
+#: Bits of the table of wanted documents: at least 2**the first, about 16 for each document, at most 2**the second (64 MB sent to all tasks; beyond that more of the others pass it, and the join drops them).
+BLOOM_BITS = 22, 29
+#: Tasks that share a group's members where they are numbered or joined by a key that many rows may have.
+SALTS = 32
 #: Of a shingle's hash; a rank of up to MOST, rare up to RARE, stands above it in one 64-bit number.
 TOKEN_BITS, MOST, RARE = 52, 255, 100
 CHUNK = 256
@@ -147,8 +150,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, print long, print2 long")
 
 
+def group_counts(n: int) -> list[int]:
+    """Into how many groups a set of n tokens deals its frequent ones: a power of two that grows with the set, for each size that may link with it.
+
+    Sizes that link differ by a factor of at most 4 / 3, so there are two numbers at most, and two sets that link share one.
+    """
+    return sorted({max(GROUPS, (1 << (m.bit_length() - 1)) // 8) for m in (-(-3 * n // 4), 4 * n // 3)})
+
+
 def signatures_of(tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set and whether each may have a large group. tokens: distinct, in the global order; often: which are frequent."""
+    """Signatures of one set and whether each may have a large group. tokens: distinct, in the global order; often: which are frequent.
+
+    Groups grow in number with the set, so a set of n frequent tokens has about n signatures, not n squared.
+    """
     n = len(tokens)
     missing = n // 4
     parts, hot = [], []
@@ -162,16 +176,18 @@ def signatures_of(tokens: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np
         hot.append(np.zeros(len(single), bool))
         if rare < missing + 1:
             rest = tokens[rare:]
-            group = (rest % np.uint64(GROUPS)).astype(np.int64)
-            first = np.zeros(len(rest), bool)
-            first[np.unique(group, return_index=True)[1]] = True
-            upto = int(np.searchsorted(np.cumsum(~first), missing + 1 - rare)) + 1
-            for g in range(GROUPS):
-                own = np.sort(rest[:upto][group[:upto] == g])
-                if len(own) > 1:
-                    i, j = np.triu_indices(len(own), 1)
-                    parts.append(mix(own[i] * PLACES[0] + mix(own[j] ^ PLACES[1])))
-                    hot.append(np.ones(len(i), bool))
+            for groups in group_counts(n):
+                group = (rest % np.uint64(groups)).astype(np.int64)
+                first = np.zeros(len(rest), bool)
+                first[np.unique(group, return_index=True)[1]] = True
+                upto = int(np.searchsorted(np.cumsum(~first), missing + 1 - rare)) + 1
+                order = np.lexsort((rest[:upto], group[:upto]))
+                own, of = rest[:upto][order], group[:upto][order]
+                apart = 1
+                while apart < len(own) and (same := of[apart:] == of[:-apart]).any():  # every two of a group, the smaller first
+                    parts.append(mix(own[:-apart][same] * PLACES[0] + mix(own[apart:][same] ^ PLACES[1]) + np.uint64(groups)))
+                    hot.append(np.ones(len(parts[-1]), bool))
+                    apart += 1
     return np.concatenate(parts), np.concatenate(hot)
 
 
@@ -254,8 +270,10 @@ def central(shared: DataFrame, percent: int) -> DataFrame:
     return shared.join(far, "print").withColumn("light", light)
 
 
-def _bloom(wanted: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A bit table of fixed size over rep; at most 2**bits / 32 numbers come to the driver."""
+def _bloom(wanted: DataFrame) -> np.ndarray:
+    """A bit table over rep; its size follows the number of rows, up to 2**BLOOM_BITS[1] bits."""
+    low, high = BLOOM_BITS
+    bits = min(high, max(low, (16 * wanted.count() - 1).bit_length()))
     place = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(1 << bits)).alias("place"))
     words = place.select(F.shiftright("place", 5).alias("word"), F.expr("shiftleft(1L, cast(place & 31 AS int))").alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -304,17 +322,19 @@ def may_link(one: bytes, two: bytes, percent: int) -> bool:
 def _payloads(docs: DataFrame, wanted: DataFrame, make: Callable[[np.ndarray], bytes]) -> DataFrame:
     """print, payload made from the tokens of the sets in wanted (print, rep: the document to take it from), and of a few others.
 
-    Texts aren't shuffled: a bit table of fixed size leaves out nearly all other documents where they lie.
+    Texts aren't shuffled: a bit table leaves out nearly all other documents where they lie.
     """
+    wanted = cut(wanted)
     table = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         bits = table.value
+        mask = 32 * len(bits) - 1
         for batch in batches:
             # the same hash as Spark's xxhash64 of a long: its bytes with seed 42
-            places = [xxhash.xxh64_intdigest((x or 0).to_bytes(8, "little", signed=True), 42) & ((1 << BLOOM_BITS) - 1) for x in batch.column(0).to_pylist()]
+            places = [xxhash.xxh64_intdigest((x or 0).to_bytes(8, "little", signed=True), 42) & mask for x in batch.column(0).to_pylist()]
             found = [k for k, p in enumerate(places) if int(bits[p >> 5]) >> (p & 31) & 1]
             if not found:
                 continue
@@ -383,7 +403,8 @@ def _linked(docs: DataFrame, reps: DataFrame, percent: int, frequent: int | None
         """Rows of the groups that hold sets of several labels and a light one, with the group's first set, light ones before others."""
         labelled = work.join(labels, "print", "left").select("sig", "print", "n", "most", "far", "light", F.coalesce("label", "print").alias("label"))
         first = F.min(F.struct((~F.col("light")).alias("heavy"), "far", "print", "n", "most", "label")).alias("first")
-        ends = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo <> hi and not first.heavy").drop("lo", "hi")
+        # written, so that the join has a shuffle on both sides and Spark splits a group that many sets are in
+        ends = cut(labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo <> hi and not first.heavy").drop("lo", "hi"))
         return labelled.join(ends, "sig")
 
     step = 0
@@ -394,16 +415,21 @@ def _linked(docs: DataFrame, reps: DataFrame, percent: int, frequent: int | None
             pairs = pairs.groupBy("print").agg(F.min(F.struct("hub_far", "hub")).alias("h")).select("print", "h.hub")
         else:
             k = ROUND_HUBS[min(step - 1, len(ROUND_HUBS) - 1)] * 4 ** max(0, step - len(ROUND_HUBS))
-            numbered = cut(still_open().drop("first").withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("light"), "far", "print"))))
-            if not numbered.take(1):
+            live = cut(still_open().drop("first"))
+            if not live.take(1):
                 break
+            # a group's first k sets: of the first k of each of its shares, so that no task orders a whole group
+            order = (F.desc("light"), "far", "print")
+            shares = live.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS))).withColumn("place", F.row_number().over(Window.partitionBy("sig", "salt").orderBy(*order)))
+            heads = shares.where(F.col("place") <= k).withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(*order))).where(F.col("place") <= k)
+            hubs = cut(heads.groupBy("sig").agg(F.collect_list(F.struct("print", "n", "most", "label", "place", "light")).alias("hubs")))
+            met = live.join(hubs, "sig").withColumn("place", F.get(F.filter("hubs", lambda h: h["print"] == F.col("print")), F.lit(0))["place"])
             # the hubs that a set may link with are gathered by set, so that a pair that shares many groups is made once
-            hubs = numbered.where((F.col("place") <= k) & F.col("light")).groupBy("sig").agg(F.collect_list(F.struct("print", "n", "most", "label", "place")).alias("hubs"))
-            fits = F.filter("hubs", lambda h: (h["place"] < F.col("place")) & (h["label"] != F.col("label")) & _near(F.col("n"), F.col("most"), h["n"], h["most"], percent))
-            each = numbered.join(hubs, "sig").select("print", F.transform(fits, lambda h: h["print"]).alias("hubs")).where(F.size("hubs") > 0)
+            fits = F.filter("hubs", lambda h: h["light"] & (F.col("place").isNull() | (h["place"] < F.col("place"))) & (h["label"] != F.col("label")) & _near(F.col("n"), F.col("most"), h["n"], h["most"], percent))
+            each = met.select("print", F.transform(fits, lambda h: h["print"]).alias("hubs")).where(F.size("hubs") > 0)
             pairs = each.groupBy("print").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select(F.explode("hubs").alias("hub"), "print")
             pairs = pairs.join(tested, (F.col("hub") == F.col("a")) & (F.col("print") == F.col("b")), "left_anti")
-            work = numbered.where(F.col("place") > k).drop("label", "place")
+            work = cut(met.where("place is null").select("sig", "print", "n", "most", "far", "light"))
         pairs = cut(pairs.select("hub", "print"))
         step += 1
         if not pairs.take(1):
@@ -432,9 +458,14 @@ def near_copies(docs: DataFrame, percent: int = 75, frequent: int | None = None)
             raise RuntimeError("two different sets have the same 64-bit fingerprint")
         reps = prints.where("print is not null").groupBy("print").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("rep"))
         labels = _linked(docs, reps, percent, frequent)
-    labelled = prints.join(labels, "print", "left").select("doc_id", "n_shingles", F.coalesce("label", "print").alias("label"))
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # the least doc_id of each set, then of each component; a component's many sets meet its one row in SALTS places
+    each = prints.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"))
+    each = cut(each.join(labels, "print", "left").withColumn("label", F.coalesce("label", "print")))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    whole = each.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("sets")).where("sets > 1").select("label", "component", salts.alias("salt"))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)).cast("int")).join(whole, ["label", "salt"], "left")
+    found = cut(each.select("print", F.coalesce("component", "least").alias("component")))  # written: copies of one text are a large group that Spark then splits
+    return prints.join(found, "print", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -125,6 +125,17 @@ def test_signatures_are_shared_by_sets_that_link():
         assert jaccard.may_link(jaccard.parity(tokens), jaccard.parity(other), 75)
 
 
+def test_signatures_of_long_frequent_sets_are_few():
+    r = np.random.default_rng(6)
+    for n in (1_000, 20_000, 100_000):
+        tokens = r.permutation(np.unique(r.integers(0, 1 << 52, n).astype(np.uint64)))
+        made, _ = jaccard.signatures_of(tokens, np.ones(len(tokens), bool))
+        assert len(made) <= 7 * n / 4
+        for kept in (0.76, 0.9):  # the least that links, and more
+            part = tokens[np.sort(r.permutation(len(tokens))[: int(kept * len(tokens))])]
+            assert np.isin(made, jaccard.signatures_of(part, np.ones(len(part), bool))[0]).any()
+
+
 def test_packed_sets_round_trip():
     for n in (1, 2, 1000):
         x = np.unique(np.random.default_rng(n).integers(0, 1 << 52, n).astype(np.uint64))
@@ -133,8 +144,9 @@ def test_packed_sets_round_trip():
 
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 3), (3, 7), (200, 150), (None, 5)]
-    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {200: 150}
+    for local in (components.LOCAL_EDGES, 0):
+        got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(pairs, "a long, b long"), local=local).collect()}
+        assert got == {i: 0 for i in range(1, 41)} | {200: 150}
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
