@@ -421,15 +421,15 @@ def _linked(docs: DataFrame, reps: DataFrame, percent: int, frequent: int | None
             # a group's first k sets: of the first k of each of its shares, so that no task orders a whole group
             order = (F.desc("light"), "far", "print")
             shares = live.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS))).withColumn("place", F.row_number().over(Window.partitionBy("sig", "salt").orderBy(*order)))
-            heads = shares.where(F.col("place") <= k).withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(*order))).where(F.col("place") <= k)
-            hubs = cut(heads.groupBy("sig").agg(F.collect_list(F.struct("print", "n", "most", "label", "place", "light")).alias("hubs")))
-            met = live.join(hubs, "sig").withColumn("place", F.get(F.filter("hubs", lambda h: h["print"] == F.col("print")), F.lit(0))["place"])
+            heads = cut(shares.where(F.col("place") <= k).withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(*order))).where(F.col("place") <= k).drop("salt"))
+            hubs = cut(heads.where("light").groupBy("sig").agg(F.collect_list(F.struct("print", "n", "most", "label", "place")).alias("hubs")))
+            placed = cut(live.join(heads.select("sig", "print", "place"), ["sig", "print"], "left"))  # written, so that a lambda over hubs finds the place made
             # the hubs that a set may link with are gathered by set, so that a pair that shares many groups is made once
-            fits = F.filter("hubs", lambda h: h["light"] & (F.col("place").isNull() | (h["place"] < F.col("place"))) & (h["label"] != F.col("label")) & _near(F.col("n"), F.col("most"), h["n"], h["most"], percent))
-            each = met.select("print", F.transform(fits, lambda h: h["print"]).alias("hubs")).where(F.size("hubs") > 0)
+            fits = F.filter("hubs", lambda h: (F.col("place").isNull() | (h["place"] < F.col("place"))) & (h["label"] != F.col("label")) & _near(F.col("n"), F.col("most"), h["n"], h["most"], percent))
+            each = placed.join(hubs, "sig").select("print", F.transform(fits, lambda h: h["print"]).alias("hubs")).where(F.size("hubs") > 0)
             pairs = each.groupBy("print").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select(F.explode("hubs").alias("hub"), "print")
             pairs = pairs.join(tested, (F.col("hub") == F.col("a")) & (F.col("print") == F.col("b")), "left_anti")
-            work = cut(met.where("place is null").select("sig", "print", "n", "most", "far", "light"))
+            work = placed.where("place is null").select("sig", "print", "n", "most", "far", "light")
         pairs = cut(pairs.select("hub", "print"))
         step += 1
         if not pairs.take(1):
