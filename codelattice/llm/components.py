@@ -60,7 +60,6 @@ def connected(edges: DataFrame, rounds: int = 60, local: int = LOCAL_EDGES) -> D
         # written before the joins, so that these have a shuffle on both sides and Spark splits a star's centre
         low = cut(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")))
         large = both.where("m > n").join(low, "n").select(F.col("m").alias("u"), F.col("low").alias("v")).distinct()
-        large = cut(large)
         least = cut(large.groupBy("u").agg(F.min("v").alias("low")))
         small = large.join(least, "u").where("v > low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select("u", F.col("low").alias("v")))
         now = cut(small.distinct())
