@@ -14,10 +14,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Proposes a run of 16 or more key characters that has a letter and a digit, or 20 or more capitals, or any 16 after an assignment.
+KEY_NAMES = "secret|token|passw|pwd|api.?key|auth|credential|private|access.?key|bearer"
+#: Proposes a run of 16 or more key characters that has a letter and a digit, or 20 or more capitals, or any 16 after an assignment;
+#: and, where a key name is assigned to, any unbroken value of 6 or more characters.
 CANDIDATE = (
     r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}"
-    r"|[A-Z]{20,}(?![A-Za-z0-9_+/-])|(?<=[=:] ?[\"'])[A-Za-z0-9_+/-]{16,}={0,2})"
+    r"|[A-Z]{20,}(?![A-Za-z0-9_+/-])|(?<=[=:] ?[\"'])[A-Za-z0-9_+/-]{16,}={0,2}"
+    rf"|(?<=[=:] ?[\"'`]?)(?<=(?i:{KEY_NAMES})[A-Za-z_-]{{0,8}} ?[=:] ?[\"'`]?)[^\s\"'`,;<>(){{}}\[\]]{{6,}})"
 )
 DICTIONARY = "about after and are been but call can class code data date day default en end est file first for from get has have her his home index into item key last les line list long main make more name new not number of off old one only open order other our out over page path people place point read result run sample set she size some state string table text than that the their them then there they this time type und under use user value was what when which who will with word work world write year you your".split()
 PAIRS = "al an ar as at be ca ch ci co ct de di du ea ed el em en er es et eu ge ha he ic ie il im in io is it la le li ll ly ma me mo na nd ne ng nt of ol om on or ou pe po pr qu ra re ri ro rs sa sc se sh si so st ta te th ti to tr ts ui un ur us ut ve vi we wh".split()
@@ -43,49 +46,54 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
         size, (size - F.length(F.regexp_replace(value, "[0-9]", ""))) / size, (size - F.length(F.regexp_replace(value, "[A-Z]", ""))) / F.greatest(letters, F.lit(1)),
         (runs - 1) / last, F.regexp_count(lower, F.lit("(?=" + "|".join(PAIRS) + ")")) / last, covered / size, flag(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         F.size(F.array_distinct(F.split(value, ""))) / size, flag(before.rlike(r"[=:]\s?[\"'`]?$")),
-        flag(before.rlike(r"(?i)(secret|token|passw|pwd|api.?key|auth|credential|private|access.?key|bearer)[^\n]{0,16}$")),
+        flag(before.rlike(rf"(?i)({KEY_NAMES})[^\n]{{0,16}}$")),
         flag(near.rlike(r"(?i)(example|dummy|placeholder|changeme|commit|sha-?\d|md5|checksum|digest|etag|uuid|guid|revision|integrity)")),
         flag(value.rlike("^(AKIA|ASIA|gh[pousr]_|github_pat_|sk[-_]|xox[abp]-|eyJ|AIza|glpat-)")),
         flag(path.rlike(r"(?i)(test|example|fixture|sample|docs?/|mock)")), flag(value.rlike(r"(.)\1{5}|0123456|1234567|abcdefg")),
     )]
 
 
-def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
-    """value, before, after, path, label: findings as a reviewer would have marked them, made from a rule.
+def labelled_findings(spark: SparkSession, n: int = 7_200) -> DataFrame:
+    """value, before, after, path, label, format: findings as a reviewer would have marked them, made from a rule.
 
-    Secrets are random keys of usual formats where code or text assigns them; false positives are
-    digests, identifiers, long words, encoded data, samples and ids of the same lengths.
+    Secrets are random keys and passwords of usual formats where code or text assigns them; false positives are
+    digests, identifiers, long words, encoded data, samples, placeholders and ids of the same lengths.
     """
     h = lambda k, size: F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")), 256), 1, size)
     b64 = lambda k, size: F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")), 512))), "=", ""), 1, size)
     pick = lambda k, *options: F.element_at(F.array(*map(F.lit, options)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(options))).cast("int") + 1)
     caps = lambda k, size: F.upper(F.translate(b64(k, size), "+/abcdefghij", "QXKLMNPQRSTU"))
     word = lambda k: pick(k, *[a + b for a in ("th", "on", "er", "tion", "ing", "re", "con", "ver", "lich", "ment", "que", "ción", "an", "ste") for b in ("al", "ed", "en", "it", "ou", "es", "in", "at", "er")])
+    plain = lambda k: pick(k, *[w for w in DICTIONARY if len(w) > 2])
     long_word = F.regexp_replace(F.concat(*[word(f"w{i}") for i in range(6)]), "[^A-Za-z]", "o")
     camel = F.concat(*[F.initcap(pick(f"c{i}", "get", "user", "index", "handler", "default", "value", "request", "render", "table", "manager", "service")) for i in range(4)], F.pmod("id", F.lit(90)).cast("string"))
     key = pick("key", "token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret")
-    given = F.concat(pick("lead", "", "the the of and ", "config: ", "export ", "it re thand "), key, pick("op", "=", " = ", ": ", '="', ' = "', ': "', "=" ))
-    prose = pick("prose", "the thing of and in ", "see ", "ereing thand of ", "les de la ", "und der die ", "id ", "### ", "$$$ la ")
+    prose = F.concat_ws(" ", pick("mark", "", "", "", "#", "*", "-", "//", "$"), *[plain(f"l{i}") for i in range(3)], F.lit(""))
+    given = F.concat(F.when(F.pmod(F.xxhash64("id", F.lit("lead")), F.lit(3)) == 0, prose).otherwise(pick("lead2", "", "config: ", "export ", "set ", "  ")), key, pick("op", "=", " = ", ": ", '="', ' = "', ': "', "="))
+    mixed = lambda k, size: F.translate(b64(k, size), "+/", "!@")
     rows = [
-        (1, h("a", 40), given), (1, h("b", 18), given), (1, h("c", 32), given), (1, h("q", 24), given), (1, b64("d", 40), given), (1, b64("e", 24), given), (1, b64("t", 20), given),
-        (1, F.concat(F.lit("AKIA"), caps("f", 16)), prose), (1, F.concat(F.lit("AKIA"), caps("r", 16)), given), (1, F.concat(F.lit("ghp_"), b64("g", 36)), pick("gp", "token ", "url ", "=", "")),
-        (1, F.concat(F.lit("sk-"), b64("h", 32)), pick("sp", "key ", "= ", "")), (1, F.concat(F.lit("eyJ"), b64("i", 48)), pick("jp", "Bearer ", "Authorization: ", "jwt=")),
-        (0, h("j", 40), pick("git", "commit ", "sha1 ", "revision: ", "merged in commit ")), (0, h("k", 64), pick("sum", "sha256: ", "sha-256=", "checksum = ", "integrity: ")), (0, h("l", 32), pick("md", "md5: ", "etag: ", "digest=")),
-        (0, F.concat_ws("-", h("m", 8), h("n", 4), h("o", 4), h("p", 12)), pick("id", "uuid: ", "id ", "guid = ")), (0, camel, pick("cc", "def ", "class ", "= ", "import ", "the ")),
-        (0, long_word, prose), (0, F.upper(long_word), prose), (0, F.concat(long_word, F.pmod("id", F.lit(100)).cast("string")), prose),
-        (0, F.concat(F.lit("EXAMPLE"), h("s", 20)), F.concat(F.lit("example "), given)), (0, F.concat(F.lit("aaaaaaaa"), F.lit("00000000"), h("u", 4)), given),
-        (0, F.concat_ws("-", *[word(f"s{i}") for i in range(4)], F.pmod("id", F.lit(30)).cast("string")), pick("slug", "/", "url: ", "href=")), (0, F.concat_ws("/", word("p1"), word("p2"), h("v", 6), word("p3")), pick("pp", "path ", "from ", "open ")),
-        (0, F.concat(F.lit("v"), F.pmod("id", F.lit(20)).cast("string"), F.lit("_release_build_"), F.pmod("id", F.lit(977)).cast("string")), prose),
+        ("hex40", 1, h("a", 40), given), ("hex18", 1, h("b", 18), given), ("hex32", 1, h("c", 32), given), ("hex24", 1, h("q", 24), given), ("base40", 1, b64("d", 40), given), ("base24", 1, b64("e", 24), given), ("base20", 1, b64("t", 20), given),
+        ("akia", 1, F.concat(F.lit("AKIA"), caps("f", 16)), prose), ("akia given", 1, F.concat(F.lit("AKIA"), caps("r", 16)), given), ("ghp", 1, F.concat(F.lit("ghp_"), b64("g", 36)), pick("gp", "token ", "url ", "=", "")),
+        ("sk", 1, F.concat(F.lit("sk-"), b64("h", 32)), pick("sp", "key ", "= ", "")), ("jwt", 1, F.concat(F.lit("eyJ"), b64("i", 48)), pick("jp", "Bearer ", "Authorization: ", "jwt=")),
+        ("password", 1, mixed("pw", 10), given), ("word password", 1, F.concat(F.initcap(plain("pv")), h("px", 4), pick("pz", "!", "$", "x9", "Q", "#1", ".K")), given), ("dotted", 1, F.concat_ws(".", mixed("da", 7), mixed("db", 9)), given),
+        ("commit", 0, h("j", 40), pick("git", "commit ", "sha1 ", "revision: ", "merged in commit ")), ("digest", 0, h("k", 64), pick("sum", "sha256: ", "sha-256=", "checksum = ", "integrity: ")), ("md5", 0, h("l", 32), pick("md", "md5: ", "etag: ", "digest=")),
+        ("uuid", 0, F.concat_ws("-", h("m", 8), h("n", 4), h("o", 4), h("p", 12)), pick("id", "uuid: ", "id ", "guid = ")), ("camel", 0, camel, pick("cc", "def ", "class ", "= ", "import ", "the ")),
+        ("long word", 0, long_word, prose), ("long capitals", 0, F.upper(long_word), prose), ("numbered word", 0, F.concat(long_word, F.pmod("id", F.lit(100)).cast("string")), prose),
+        ("example", 0, F.concat(F.lit("EXAMPLE"), h("s", 20)), F.concat(F.lit("example "), given)), ("repeated", 0, F.concat(F.lit("aaaaaaaa"), F.lit("00000000"), h("u", 4)), given),
+        ("slug", 0, F.concat_ws("-", *[word(f"s{i}") for i in range(4)], F.pmod("id", F.lit(30)).cast("string")), pick("slug", "/", "url: ", "href=")), ("path", 0, F.concat_ws("/", word("p1"), word("p2"), h("v", 6), word("p3")), pick("pp", "path ", "from ", "open ")),
+        ("build", 0, F.concat(F.lit("v"), F.pmod("id", F.lit(20)).cast("string"), F.lit("_release_build_"), F.pmod("id", F.lit(977)).cast("string")), prose),
+        ("plain word", 0, F.concat(plain("qa"), plain("qb"), pick("qc", "", ".", "s", "ed", "ing")), given), ("placeholder", 0, pick("ph", "required", "changeme", "undefined", "optional", "$PASSWORD", "$TOKEN", "os.environ", "process.env", "********", "xxxxxxxx", "string", "hidden", "nullable", "example"), given),
+        ("attribute", 0, F.concat_ws(".", plain("ra"), plain("rb"), plain("rc")), given), ("long slug", 0, F.concat_ws("-", plain("ta"), plain("tb"), plain("tc"), plain("td")), given),
     ]
     base = spark.range(n, numPartitions=1)
     kind = F.pmod("id", F.lit(len(rows)))
     columns = []
-    for i, name in ((0, "label"), (1, "value"), (2, "before")):
+    for i, name in ((0, "format"), (1, "label"), (2, "value"), (3, "before")):
         out = F.lit(None)
         for k, row in enumerate(rows):
             out = F.when(kind == k, F.lit(row[i]) if not isinstance(row[i], Column) else row[i]).otherwise(out)
         columns.append(out.alias(name))
-    return base.select(*columns, pick("after", '"', " ", "", "\n", ";", ".", ",").alias("after"), pick("path", "src0", "src7", "web/app.py", "conf/settings.yaml", "src12", "tests/data.txt").alias("path"))
+    return base.select(*columns, pick("after", '"', " ", "", "\n", ";", ".", ",").alias("after"), pick("path", "web", "forum", "web/app.py", "conf/settings.yaml", "notes.md", "tests/data.txt").alias("path"))
 
 
 def train(spark: SparkSession, labelled: DataFrame | None = None, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[Tree]:
@@ -153,12 +161,12 @@ def found(text: Column, path: Column, trees: list[Tree], least: float) -> Column
     bound = lambda c, f: F.flatten(F.transform(F.array(c), f))  # noqa: E731  # f of c, which is evaluated once
 
     def seen(parts: Column) -> Column:
-        """The matches and what is around them: parts of the text between matches, and matches of 16 characters at least, so that three of them span BEFORE."""
+        """The matches and what is around them: parts of the text between matches, and matches. A match and the part before it have 10 characters at least, so that four of both span BEFORE, and two AFTER."""
         match, gap = lambda i: F.get(parts["matches"], i), lambda i: F.get(parts["gaps"], i)
 
         def one(v: Column, i: Column) -> Column:
-            before = F.right(F.concat_ws("", match(i - 3), gap(i - 2), match(i - 2), gap(i - 1), match(i - 1), gap(i)), F.lit(BEFORE))
-            after = F.substring(F.concat_ws("", gap(i + 1), match(i + 1)), 1, AFTER)
+            before = F.right(F.concat_ws("", match(i - 4), gap(i - 3), match(i - 3), gap(i - 2), match(i - 2), gap(i - 1), match(i - 1), gap(i)), F.lit(BEFORE))
+            after = F.substring(F.concat_ws("", gap(i + 1), match(i + 1), gap(i + 2), match(i + 2)), 1, AFTER)
             return F.struct(v.alias("value"), before.alias("before"), after.alias("after"))
 
         return F.transform(parts["matches"], one)

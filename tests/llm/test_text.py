@@ -65,13 +65,33 @@ def test_scan_equals_a_plain_one(real, odd, nothing, trees):
 
 
 def test_forest_on_findings_it_has_not_seen(spark, trees):
-    held = secrets.labelled_findings(spark, 9_000).offset(6_000)
+    held = secrets.labelled_findings(spark, 10_800).offset(7_200)
     rows = held.select("label", F.struct(*[x.alias(f"f{i}") for i, x in enumerate(secrets.features(*map(F.col, ("value", "before", "after", "path"))))]).alias("f"))
     got = rows.select("label", (secrets.votes(F.col("f"), trees) >= 0.5).cast("int").alias("p")).groupBy("label", "p").count().collect()
     right = sum(r["count"] for r in got if r["label"] == r["p"])
     assert right / sum(r["count"] for r in got) > 0.95
 
 
+def test_forest_on_formats_it_has_not_seen(spark):
+    """Findings of a third of the formats are held out of training, in turn."""
+    every = secrets.labelled_findings(spark, 3_600).persist()
+    formats = sorted(r["format"] for r in every.select("format").distinct().collect())
+    right = total = 0
+    for k in range(3):
+        unseen = F.col("format").isin(formats[k::3])
+        trees = secrets.train(spark, every.where(~unseen))
+        rows = every.where(unseen).select("label", F.struct(*[x.alias(f"f{i}") for i, x in enumerate(secrets.features(*map(F.col, ("value", "before", "after", "path"))))]).alias("f"))
+        r = rows.agg(F.count_if((secrets.votes(F.col("f"), trees) >= 0.5).cast("int") == F.col("label")).alias("right"), F.count("*").alias("n")).head()
+        right, total = right + r["right"], total + r["n"]
+    assert right / total > 0.8
+
+
+def test_short_and_broken_passwords_where_a_key_name_is_assigned(spark, trees):
+    texts = ['password = "hunter2x9Q" then', "pwd: kT9!vQ2@xZ", "api_key=aB3$kk.9Zq1!m", "password: required", "token = undefined", "the password manager", 'secret = "changeme"', "password: ********"]
+    docs = spark.createDataFrame([(i, t, "web") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert sorted({r["doc_id"] for r in secrets.scan(docs, trees=trees).collect()}) == [0, 1, 2]
+
+
 def test_redaction_keeps_rows_and_columns(odd, real, trees):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
