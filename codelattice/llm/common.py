@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
@@ -17,19 +18,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the session's own, else a temporary one that is then set.
+    """The shared folder for lineage cuts: the session's own, else the configured one; on one machine a temporary one.
 
-    The temporary one is meant for tests in local mode; a cluster names spark.checkpoint.dir.
+    A cluster without spark.checkpoint.dir is an error, as a folder of the driver's machine is no use to executors.
     """
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="codelattice-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator wrote, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from the columns, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)

@@ -61,15 +61,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, size: float = 1.0, so
     """docs replicated to the target weights, globally shuffled; adds copy (from 1) and shuffle_key.
 
     Rows that repeat a doc_id get the same number of copies each; a null doc_id counts as an empty one;
-    null and empty texts are replicated like any other; an empty table stays empty. All columns of docs stay; names
-    that begin with m_, and copy and shuffle_key, are reserved.
+    null and empty texts are replicated like any other; an empty table stays empty. All columns of docs stay,
+    whatever their names, but for columns named copy or shuffle_key, which the new ones replace.
     """
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # own names inside, so that none can clash
+    rows = docs.toDF(*inner.values())
     parts = F.ceil(F.col("m_rate") / LARGEST_RATE).cast("int")
     table = cut(rates(docs, weights, size, source)).where("m_rate > 0").withColumn("m_draws", parts).withColumn("m_steps", poisson_steps(F.col("m_rate") / F.col("m_draws")))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    joined = docs.join(table, F.col(source).cast("string").eqNullSafe(F.col("m_source")))
+    name = F.coalesce(F.col(inner["doc_id"]).cast("string"), F.lit(""))
+    joined = rows.join(table, F.col(inner[source]).cast("string").eqNullSafe(F.col("m_source")))
     draws = F.aggregate(
         F.sequence(F.lit(1), F.col("m_draws")), F.lit(0),
         lambda n, k: n + F.size(F.filter("m_steps", lambda c: c <= uniform(str(seed), name, k.cast("string")))),
@@ -80,8 +82,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, size: float = 1.0, so
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed} order"), name, F.col("copy").cast("string"))))
     n = wide(docs.sparkSession)
     place = F.pmod(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n, F.lit(1 << 62)) / F.lit(float(1 << 32))
-    out = keyed.select(*[F.col(f"`{c}`") for c in docs.columns], "copy", "shuffle_key", F.floor(place).cast("int").alias("m_place"))
-    return out.repartitionById(n, F.col("m_place")).drop("m_place").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    placed = keyed.select(*inner.values(), "copy", "shuffle_key", F.floor(place).cast("int").alias("m_place")).repartitionById(n, F.col("m_place"))
+    kept = [F.col(i).alias(c) for c, i in inner.items() if c.lower() not in ("copy", "shuffle_key")]
+    return placed.sortWithinPartitions("shuffle_key", inner["doc_id"], "copy").select(*kept, "copy", "shuffle_key")
 
 
 ORACLE = f"""

@@ -4,7 +4,7 @@ A logistic model on shape features gives each document's evidence. Evidence is s
 path (integers, so that the order of rows doesn't matter). A beta prior whose strength is estimated
 from the spread of hosts draws each host to the global mean, a second one each path to its host, so
 that sparse sites say little and large ones speak for themselves. The posterior odds of a document are its own odds
-times those of its path over the global ones. Texts stay where they lie: scored once to sum, once to decide.
+times those of its path over the global ones. Texts are scored once, where they lie; what is kept of the rows is written with the evidence and read for the sums and the decisions.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back
+from .common import arrow_rows, cut, give_back
 
 SYMBOLS = b"#$%&*|~^@\\{}<>=+_"
 FEATURES = ("log_words", "word_length", "upper", "symbols", "exclamation", "digits", "spaces", "distinct", "repeats", "line_length", "line_distinct", "non_ascii", "stops")
 MICRO = 1_000_000
 #: Labelled rows that the model is fitted on at most; the smallest by a hash of doc_id.
 FIT_ROWS = 20_000
+#: Rows sent to Python at once; texts are long.
+ARROW_ROWS = 500
 #: Paths whose few numbers are sent to all tasks; more are joined by a shuffle.
 BROADCAST_PATHS = 50_000
 
@@ -76,7 +78,7 @@ class Logistic:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 5) -> Logistic:
     """The evidence model, from at most fit_rows labelled documents; rows with a null label or doc_id don't count.
 
-    Of a doc_id with several labels the smallest counts. Without both labels the model is flat at their rate (1 if there are none).
+    Of a doc_id with several labels, or several rows, the smallest label and features count. Without both labels the model is flat at their rate (1 if there are none).
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     ids = ids.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows)
@@ -86,7 +88,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
         return pa.array([shape(t.as_py()) for t in text], pa.list_(pa.float64()))
 
     # the broadcast side has at most fit_rows rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "quality", shapes("text").alias("x")).toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "quality", shapes("text").alias("x"))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        rows = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()  # a row for each doc_id, so at most fit_rows
     if rows.empty or rows.quality.nunique() < 2:
         rate = float(rows.quality.mean()) if len(rows) else 1.0
         weights = np.zeros(1 + 2 * len(FEATURES))
@@ -119,40 +123,51 @@ def _strength(mean: float, rows: DataFrame, centre: Column) -> float:
     return 1e4 if between <= 0 else float(np.clip(mean * (1 - mean) / between - 1, 1.0, 1e4))
 
 
-def judge(docs: DataFrame, model: Logistic, host: str = "source", path: Sequence[str] = ("source", "lang"), prefix: str = "q_") -> DataFrame:
-    """docs with evidence, host_quality, path_quality and posterior (doubles), each named with the prefix.
+def judge(docs: DataFrame, model: Logistic, host: str = "source", path: Sequence[str] = ("source", "lang"), prefix: str = "q_", columns: Sequence[str] | None = None) -> DataFrame:
+    """The columns of docs (or those named) with host, evidence, host_quality, path_quality and posterior (doubles but host), each named with the prefix.
 
     Null hosts and paths form groups of their own; null and empty texts have the evidence of an empty
-    text; repeated rows count each time; an empty table stays empty. The prefix must not begin a column of docs.
+    text; repeated rows count each time; an empty table stays empty. A column of docs that has the name of a new one is replaced by it.
     """
     spark = docs.sparkSession
-    h, p, e = f"{prefix}host", f"{prefix}path", f"{prefix}evidence"
-    keyed = docs.withColumns({h: F.col(host).cast("string"), p: F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(path)]))})
-    scored = keyed.withColumn(e, evidence(model)(F.col("text").cast("string")))
-    paths = scored.groupBy(h, p).agg(F.count("*").alias("n"), F.sum(e).alias("total"))
-    paths = cut(paths)  # one row for each path, read several times
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # own names inside, so that none can clash
+    rows = docs.toDF(*inner.values())
+    kept = [inner[c] for c in columns or docs.columns]
+    key = F.to_json(F.struct(*[F.col(inner[c]).cast("string").alias(f"k{i}") for i, c in enumerate(path)]))
+    scored = rows.select(*kept, F.col(inner[host]).cast("string").alias("host"), key.alias("path"), evidence(model)(F.col(inner["text"]).cast("string")).alias("evidence"))
+    with arrow_rows(spark, ARROW_ROWS):
+        scored = cut(scored)
+    paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("total")))  # one row for each path, read several times
     all_ = paths.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("paths")).head()
     mean = (all_["total"] or 0) / (all_["n"] * MICRO) if all_["n"] else 0.5
     mean = min(max(mean, 1e-6), 1 - 1e-6)
-    hosts = paths.groupBy(h).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     kappa = _strength(mean, hosts, F.lit(mean))
-    hosts = hosts.select(h, ((F.col("total") / MICRO + kappa * mean) / (F.col("n") + kappa)).alias(f"{prefix}host_quality"))
-    joined = paths.join(hosts, paths[h].eqNullSafe(hosts[h]), "left").drop(hosts[h])
-    kappa_path = _strength(mean, joined, F.col(f"{prefix}host_quality"))
-    sites = joined.select(F.col(h).alias(f"{prefix}h2"), F.col(p).alias(f"{prefix}p2"), f"{prefix}host_quality", ((F.col("total") / MICRO + kappa_path * F.col(f"{prefix}host_quality")) / (F.col("n") + kappa_path)).alias(f"{prefix}path_quality"))
+    hosts = hosts.select(F.col("host").alias("h"), ((F.col("total") / MICRO + kappa * mean) / (F.col("n") + kappa)).alias("host_quality"))
+    joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
+    kappa_path = _strength(mean, joined, F.col("host_quality"))
+    sites = joined.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_quality", ((F.col("total") / MICRO + kappa_path * F.col("host_quality")) / (F.col("n") + kappa_path)).alias("path_quality"))
     if all_["paths"] <= BROADCAST_PATHS:
         sites = F.broadcast(sites)
-    out = scored.join(sites, F.col(h).eqNullSafe(F.col(f"{prefix}h2")) & F.col(p).eqNullSafe(F.col(f"{prefix}p2")), "left").drop(f"{prefix}h2", f"{prefix}p2")
+    out = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
 
     def odds(x: Column) -> Column:
         return x / (1 - x)
 
-    doc = F.col(e) / MICRO
-    both = odds(doc) * odds(F.col(f"{prefix}path_quality")) / F.lit(mean / (1 - mean))
-    return out.withColumns({f"{prefix}posterior": both / (1 + both), e: doc}).drop(p) if host else out
+    doc = F.col("evidence") / MICRO
+    both = odds(doc) * odds(F.col("path_quality")) / F.lit(mean / (1 - mean))
+    new = {"host": F.col("host"), "evidence": doc, "host_quality": F.col("host_quality"), "path_quality": F.col("path_quality"), "posterior": both / (1 + both)}
+    taken = {f"{prefix}{n}".lower() for n in new}
+    return out.select(*[F.col(inner[c]).alias(c) for c in columns or docs.columns if c.lower() not in taken], *[x.alias(f"{prefix}{n}") for n, x in new.items()])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose posterior is at least `least`, with the columns of docs."""
-    judged = judge(docs, fit(docs, labels))
-    return judged.where(F.col("q_posterior") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose posterior is at least `least`, with the columns of docs.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in judge(); without labels nothing is rejected.
+    """
+    prefix = "q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    judged = judge(docs, fit(docs, labels), prefix=prefix)
+    return judged.where(F.col(f"{prefix}posterior") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -73,7 +73,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, judge
 
     docs = table(spark, sf_dir, "documents")
-    judged = judge(docs.select("doc_id", "text", "source", "lang"), fit(docs, table(spark, sf_dir, "labels")))
+    judged = judge(docs, fit(docs, table(spark, sf_dir, "labels")), columns=("doc_id", "source", "lang"))
     return judged.select("doc_id", "source", "lang", F.col("q_evidence").alias("evidence"), F.col("q_host_quality").alias("host_quality"), F.col("q_path_quality").alias("path_quality"), F.col("q_posterior").alias("posterior"), (F.col("q_posterior") >= 0.5).alias("kept"))
 
 

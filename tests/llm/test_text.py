@@ -222,10 +222,46 @@ def test_posterior_is_bayes_rule(spark, real, labels):
     assert np.allclose(odds / (1 + odds), [r["q_posterior"] for r in rows])
 
 
+def test_posteriors_equal_plain_ones(spark, real, labels):
+    """Host and path posteriors, both strengths and the decision, in plain Python from the texts."""
+    model = quality.fit(real, labels)
+    rows = quality.judge(real, model).collect()
+    e = [min(max(int(np.rint(model(np.array([quality.shape(r["text"])]))[0] * quality.MICRO)), 1), quality.MICRO - 1) for r in rows]
+    mean = sum(e) / len(e) / quality.MICRO
+
+    def groups(of):
+        out = {}
+        for r, x in zip(rows, e):
+            n, t = out.get(of(r), (0, 0))
+            out[of(r)] = n + 1, t + x
+        return out
+
+    def strength(rated):  # n, rate, centre
+        big = [(n, r, c) for n, r, c in rated if n >= 2]
+        if len(big) < 2:
+            return 100.0
+        total = sum(n for n, _, _ in big)
+        between = sum(n * (r - c) ** 2 for n, r, c in big) / total - mean * (1 - mean) * len(big) / total
+        return 1e4 if between <= 0 else min(max(mean * (1 - mean) / between - 1, 1.0), 1e4)
+
+    hosts, paths = groups(lambda r: r["source"]), groups(lambda r: (r["source"], r["lang"]))
+    rate = lambda g: g[1] / quality.MICRO / g[0]
+    k1 = strength([(g[0], rate(g), mean) for g in hosts.values()])
+    host = {h: (g[1] / quality.MICRO + k1 * mean) / (g[0] + k1) for h, g in hosts.items()}
+    k2 = strength([(g[0], rate(g), host[p[0]]) for p, g in paths.items()])
+    path = {p: (g[1] / quality.MICRO + k2 * host[p[0]]) / (g[0] + k2) for p, g in paths.items()}
+    assert np.allclose([host[r["source"]] for r in rows], [r["q_host_quality"] for r in rows], rtol=1e-9)
+    assert np.allclose([path[r["source"], r["lang"]] for r in rows], [r["q_path_quality"] for r in rows], rtol=1e-9)
+    odds = lambda x: x / (1 - x)
+    both = [odds(x / quality.MICRO) * odds(path[r["source"], r["lang"]]) / odds(mean) for r, x in zip(rows, e)]
+    assert np.allclose([b / (1 + b) for b in both], [r["q_posterior"] for r in rows], rtol=1e-9)
+
+
 def test_quality_odd_rows(odd, nothing, real, labels):
     kept = quality.keep_good(odd, labels)
     assert kept.columns == odd.columns and quality.keep_good(nothing, labels).count() == 0
-    assert quality.judge(odd, quality.fit(odd, labels.limit(0)), prefix="qq_").count() == odd.count()
+    judged = quality.judge(odd, quality.fit(odd, labels.limit(0)))
+    assert judged.count() == odd.count() and judged.columns.count("q_host") == 1 and {r["q_host"] for r in judged.collect()} == {"a", "b", None}
     assert quality.keep_good(real, labels.limit(0)).count() == real.count()  # nothing known, nothing rejected
 
 
@@ -269,7 +305,8 @@ def test_mix_is_the_same_however_it_is_partitioned(real):
 
 def test_mix_odd_rows(odd, nothing):
     out = mixing.mix(odd, size=3.0)
-    assert out.columns == [*odd.columns, "copy", "shuffle_key"] and out.count() and mixing.mix(nothing).count() == 0
+    assert out.columns == [c for c in odd.columns if c not in ("copy", "shuffle_key")] + ["copy", "shuffle_key"] and {r["m_rate"] for r in out.collect()} == {"m"}
+    assert out.count() and mixing.mix(nothing).count() == 0
     per_row = {(r["doc_id"], r["copy"]): 0 for r in out.collect()}
     assert sum(1 for r in out.where("doc_id = 5").collect()) == 2 * sum(1 for d, _ in per_row if d == 5)
 
@@ -296,6 +333,29 @@ def test_pipeline_stages_in_order(spark, real, labels):
     assert set(ids(pieces)) == set(ids(mix))
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, nothing):
+    """Nulls, empty and long texts, repeated rows and an empty table go through every stage; all but the last give the columns of documents."""
+    for docs in (odd, nothing):
+        docs = docs.select(*corpus_pipeline.COLUMNS)
+        rows = docs.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, "/root/testdata/sf0.001").persist()
+            assert k == len(corpus_pipeline.STAGES) - 1 or tuple(docs.columns) == corpus_pipeline.COLUMNS and (k == 3 or docs.count() <= rows)
+        assert bool(rows) or docs.count() == 0
+
+
+def test_pipeline_run(spark):
+    """run() packs each id once, in gapless sequences, and leaves the session's batch size as it was."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by_sequence = {}
+    for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect():
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by_sequence.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= packing.SIZE
+    assert by_sequence and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_every_operator_has_one_query():
     names = list(Q.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11)) and set(Q.oracle_sql()) <= set(names)
