@@ -6,7 +6,6 @@ import argparse
 import json
 import os
 import sys
-import time
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import build as B
 from . import export, install, review, serve, viz
-from .operators import risk, search
+from .operators import graph, risk, search
 from .sources import git
 from .store import Store
 from .streaming.watch import INTERVAL_MS, Root, Watcher
@@ -45,6 +44,8 @@ def parser() -> argparse.ArgumentParser:
     command("impact", "symbol", depth=review.DEPTH, forward=False)
     command("query", "pattern", "symbol")
     command("search", "text", limit=serve.SEARCH_LIMIT, hybrid=False)
+    command("path", "start", "end")
+    command("find", "part", limit=serve.SEARCH_LIMIT)
     command("export", out="")
     command("risk", "symbol", v2=False)
     command("communities")
@@ -104,9 +105,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         watcher = Watcher(spark, roots)
         if a.once:
             return int(any(isinstance(x, Exception) for x in watcher.tick().values()))
-        while True:
-            watcher.tick()
-            time.sleep(a.interval / 1000)
+        watcher.start(f"{store.root}-watch", a.interval).awaitTermination()
+        return 0
     if store.current() is None:
         raise SystemExit(f"no graph in {store.root}; run build first")
     r = review.Review(store)
@@ -118,6 +118,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     elif a.command == "search":
         found = search.hybrid_search(r.nodes, r.edges, a.text, a.limit) if a.hybrid else search.text_search(r.nodes, a.text, a.limit)
         print("\n".join(x["id"] for x in found.collect()))
+    elif a.command == "path":
+        print("\n".join(graph.shortest_path(r.edges, one_symbol(r, a.start), one_symbol(r, a.end))))
+    elif a.command == "find":
+        for x in search.find_name(r.nodes, a.part, risk.fan_in(r.edges).withColumnRenamed("fan_in", "size"), a.limit).collect():
+            print(f"{x['size']}\t{x['qualified_name']}")
     elif a.command == "export":
         out = open(a.out, "w", encoding="utf-8", newline="\n") if a.out else sys.stdout
         out.writelines(export.export_json(store))

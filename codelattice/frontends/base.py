@@ -177,9 +177,12 @@ def parse(language: Language, path: str, source: str) -> dict:
     for d in scan.types:
         add(d, TYPE, in_test_file)
 
-    calls = []
+    calls, ahead, around = [], sorted(((a, b, k, n) for k, (a, b, n) in enumerate(scopes)), reverse=True), []
     for c in sorted(scan.calls, key=lambda c: c.at):
-        around = [(b - a, k, n) for k, (a, b, n) in enumerate(scopes) if a <= c.at < b]
+        while ahead and ahead[-1][0] <= c.at:  # scopes that have begun; those that have ended go
+            a, b, k, n = ahead.pop()
+            around.append((b - a, k, n, b))
+        around = [x for x in around if x[3] > c.at]
         caller = min(around)[2] if around else f"{path}::<file>"
         for name in c.callee.split(language.separator) if language.separator else [c.callee]:
             if name:
@@ -187,7 +190,7 @@ def parse(language: Language, path: str, source: str) -> dict:
     extracted = len(nodes) - language.file_node + len(calls)
     warning = None
     if scan.lost and extracted <= 1:
-        warning = f"syntax errors; only {extracted} symbol(s) or reference(s) were read, so this file's graph is probably incomplete"
+        warning = f"brackets don't match; {extracted} finding(s) in all, so most of the file is not in the graph"
     elif scan.lost > 1:
-        warning = f"syntax errors; {scan.regions} unreadable region(s), the largest of {scan.lost} lines, whose symbols are missing"
+        warning = f"brackets don't match in {scan.regions} place(s); up to {scan.lost} unreadable lines are not in the graph"
     return {"nodes": nodes, "raw_calls": calls, "imports": [dict(file=path, name=n, module=m) for n, m in dedup_imports(scan.imports)], "warning": warning}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from .base import Brackets, Call, Definition, Scan, blank, clean_doc, comment_above, signature
@@ -9,7 +10,11 @@ from .base import Brackets, Call, Definition, Scan, blank, clean_doc, comment_ab
 COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
 RUST = re.compile(rf"(?P<c>{COMMENT})|(?P<s>\bb?r(?P<h>#*)\".*?\"(?P=h)|b?\"(?:\\.|[^\"\\])*\"|b?'(?:\\(?:u\{{[^}}]*\}}|x..|.)|[^'\\\n])')", re.S)
 GO = re.compile(rf"(?P<c>{COMMENT})|(?P<s>\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\.|[^'\\\n])+')", re.S)
-TS = re.compile(rf"(?P<c>{COMMENT})|(?P<s>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)", re.S)
+TS_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|[`{}/]|[\w$]+|[^\s\w$]", re.S)
+TS_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])*/[a-z]*")
+TS_PIECE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*", re.S)
+#: Words after which a slash begins a pattern, not a division.
+TS_BEFORE_REGEX = frozenset("await case delete do else in instanceof new of return throw typeof void yield".split())
 WORDS = {
     "rust": frozenset("as async await box break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct super trait type unsafe use where while yield".split()),
     "go": frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()),
@@ -26,6 +31,53 @@ def masked(text: str, pattern: re.Pattern) -> tuple[str, list[tuple[int, int]],
     return blank(text, [*comments, *((a + 1, b - 1) for a, b in strings)]), comments, strings
 
 
+def masked_ts(text: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+    """Like masked(), where templates keep the code in their substitutions and patterns count as strings. One pass over the text."""
+    comments, strings, hidden, depth = [], [], [], []  # depth: open braces since each open substitution
+    at, last = 0, ""
+
+    def template(start: int, opened: int | None) -> int:
+        """Past the stretch of a template that begins at start: after its end, or after the start of a substitution."""
+        end = TS_PIECE.match(text, start).end()
+        hidden.append((start, end))
+        if text.startswith("${", end):
+            depth.append(0)
+            return end + 2
+        if opened is not None:
+            strings.append((opened, end + 1))
+        return end + 1
+
+    while m := TS_TOKEN.search(text, at):
+        token, at = m[0], m.end()
+        if token.startswith(("//", "/*")):
+            comments.append(m.span())
+            continue
+        if token[0] in "\"'":
+            strings.append(m.span())
+            hidden.append((m.start() + 1, at - 1))
+        elif token == "`":
+            at = template(at, m.start())
+        elif token == "/" and (not last or last[-1] in "(,=:[!&|?{};+-*%~^<>" or last in TS_BEFORE_REGEX):
+            if r := TS_REGEX.match(text, m.start()):
+                at, token = r.end(), ")"
+                hidden.append(r.span())
+        elif token in "{}" and depth:
+            depth[-1] += 1 if token == "{" else -1
+            if depth[-1] < 0:
+                depth.pop()
+                at, token = template(at, None), "`"
+        last = token
+    return blank(text, [*comments, *((a, b) for a, b in hidden if b > a)]), comments, strings
+
+
+def last_solid(code: str, at: int) -> int:
+    """Place of the last character before a place that isn't white space; -1 if there is none."""
+    at -= 1
+    while at >= 0 and code[at].isspace():
+        at -= 1
+    return at
+
+
 def body(plain: str, at: int, brackets: Brackets) -> int | None:
     """Place of the brace that opens a definition's body after its head; null if a semicolon ends it first."""
     while at < len(plain):
@@ -59,12 +111,15 @@ def scan_rust(text: str, in_test_file: bool) -> Scan:
         macros.append((m.start(1), brackets.end(m.start(1), len(code))))
     code = blank(code, macros)
 
+    limits, begins = [m.start() for m in re.finditer("[;{}]", code)], [x for x, _ in attributes]
+
     def head(at: int) -> int:
         """Where the item at a place begins, attributes included."""
-        return max((code.rfind(c, 0, at) for c in ";{}"), default=-1) + 1
+        k = bisect.bisect_left(limits, at)
+        return limits[k - 1] + 1 if k else 0
 
     def marked(a: int, b: int) -> bool:
-        return any(attribute_marks(text[x:y].lstrip("#!")[1:-1], RUST_TESTS) for x, y in attributes if a <= x < b)
+        return any(attribute_marks(text[x:y].lstrip("#!")[1:-1], RUST_TESTS) for x, y in attributes[bisect.bisect_left(begins, a) : bisect.bisect_left(begins, b)])
 
     blocks = [(m.start(), brackets.end(m.start(), len(code)), marked(head(m.start()), m.start())) for m in re.finditer(r"\{", code)]
     tested = [(a, b) for a, b, t in blocks if t]
@@ -84,8 +139,8 @@ def scan_rust(text: str, in_test_file: bool) -> Scan:
             continue
         parts = [p.strip() for p in m["path"].split("::") if p.strip()]
         if m["dot"] or not parts:
-            before = code[: m.start("name")].rstrip()
-            if not m["dot"] and before.endswith("::"):
+            k = last_solid(code, m.start("name"))
+            if not m["dot"] and code[max(0, k - 1) : k + 1] == "::":
                 continue  # a path that ends in generic arguments
             out.calls.append(Call(m["name"], m.start("name")))
         elif parts[-1] not in ("crate", "super", "self"):
@@ -120,7 +175,8 @@ def scan_go(text: str, in_test_file: bool) -> Scan:
             names = [m[1]]
         doc = clean_doc(comment_above(text, m.start(), comments, DECORATION))
         out.types += [Definition(n, m.start(), end, signature(text[m.start() : end]), doc, scope=False) for n in names]
-    out.calls = [c for c in _dotted_calls(code, WORDS["go"]) if c.at not in heads]
+    listed = [(m.end(), brackets.end(m.end() - 1, len(code)) - 1) for m in re.finditer(r"\binterface\s*\{", code)]  # methods that an interface asks for aren't called
+    out.calls = [c for c in _dotted_calls(blank(code, [(a, b) for a, b in listed if b > a]), WORDS["go"]) if c.at not in heads]
     return out
 
 
@@ -129,7 +185,7 @@ def _go_body(code: str, at: int, brackets: Brackets) -> int | None:
     while at < len(code):
         c = code[at]
         if c == "{":
-            if re.search(r"\b(?:interface|struct)\s*$", code[:at][-12:]):
+            if re.search(r"\b(?:interface|struct)\s*$", code[max(0, at - 12) : at]):
                 at = brackets.end(at, len(code))
                 continue
             return at
@@ -145,11 +201,16 @@ def _flat(code: str, start: int, end: int, brackets: Brackets) -> str:
     return blank(code[start:end], [(a, b) for a, b in inner if b > a])
 
 
-def _dotted_calls(code: str, words: frozenset[str]) -> list[Call]:
+CALL = re.compile(r"(?<![\w$.)\]?])(?P<chain>(?:[A-Za-z_$][\w$]*\s*\.\s*)*)(?P<name>[A-Za-z_$][\w$]*)\s*\(")
+#: The same with optional links and arguments of types.
+TS_CALL = re.compile(r"(?<![\w$.)\]])(?P<chain>(?:[A-Za-z_$][\w$]*\s*\??\.\s*)*)(?P<name>[A-Za-z_$][\w$]*)(?:<[^<>()&;]*(?:<[^<>()&;]*>[^<>()&;]*)*>)?\s*(?:\?\.\s*)?\(")
+
+
+def _dotted_calls(code: str, words: frozenset[str], call: re.Pattern = CALL) -> list[Call]:
     """foo(), x.foo() with its qualifier, x.y.foo() without; nothing after other expressions."""
     out = []
-    for m in re.finditer(r"(?<![\w$.)\]?])(?P<chain>(?:[A-Za-z_$][\w$]*\s*\.\s*)*)(?P<name>[A-Za-z_$][\w$]*)\s*\(", code):
-        parts = [p.strip() for p in m["chain"].split(".") if p.strip()]
+    for m in call.finditer(code):
+        parts = [p.strip() for p in m["chain"].replace("?", "").split(".") if p.strip()]
         if not parts and m["name"] in words or any(p in words for p in parts[:-1]) and parts[0] != "this":
             continue
         if not parts:
@@ -162,8 +223,11 @@ def _dotted_calls(code: str, words: frozenset[str]) -> list[Call]:
     return out
 
 
+TS_HEAD = re.compile(r"\s*(?::\s*[^;{}=]+?)?\s*\{")
+
+
 def scan_typescript(text: str, in_test_file: bool) -> Scan:
-    code, comments, strings = masked(text, TS)
+    code, comments, strings = masked_ts(text)
     brackets, out = Brackets(code), Scan()
     out.lost, out.regions = brackets.loose, brackets.regions
     n, words, heads = len(code), WORDS["ts"], set()
@@ -179,14 +243,13 @@ def scan_typescript(text: str, in_test_file: bool) -> Scan:
     for m in re.finditer(r"(?<![\w$.])((?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?\s*)([A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\(", code):
         if m[2] in words or m.start(2) in heads:
             continue
-        before = code[: m.start()].rstrip()
-        if before and before[-1] not in "{};,/":
-            if not re.search(r"\)\s*$|[\w\])\"'`]$", before) or "\n" not in code[len(before) : m.start()]:
-                continue
+        k = last_solid(code, m.start())
+        if k >= 0 and code[k] not in "{};,/" and (not re.match(r"[\w\])\"'`]", code[k]) or "\n" not in code[k + 1 : m.start()]):
+            continue
         after = brackets.end(m.end() - 1, n)
-        head = re.match(r"\s*(?::\s*[^;{}=]+?)?\s*\{", code[after:])
+        head = TS_HEAD.match(code, after)
         if head:
-            define(m[2], m.start(2), m.start(), brackets.end(after + head.end() - 1, n))
+            define(m[2], m.start(2), m.start(), brackets.end(head.end() - 1, n))
     if in_test_file:
         quoted = dict(strings)
         for m in re.finditer(r"(?<![\w$.])(test|it|bench)\s*\(\s*", code):
@@ -199,11 +262,12 @@ def scan_typescript(text: str, in_test_file: bool) -> Scan:
         end = brackets.end(opened, n) if opened >= 0 else next((x for x in (code.find(";", m.end()) + 1, code.find("\n", m.end())) if x > 0), n)
         out.types.append(Definition(m[1] or m[2] or m[3], m.start(), end, signature(text[m.start() : end]), clean_doc(comment_above(text, m.start(), comments, DECORATION)), scope=False))
     members = [(t.start, t.end) for t in out.types if code.startswith("interface", t.start)]
-    for c in _dotted_calls(blank(code, members), words | {"async"}):
+    for c in _dotted_calls(blank(code, members), words | {"async"}, TS_CALL):
         if c.at not in heads and not re.search(r"\b(?:new|function)\s+$", code[max(0, c.at - 60) : c.at].rsplit("\n", 1)[-1][-12:]) and c.qualifier != "this":
             out.calls.append(c)
+    ends = dict(strings)
     for m in re.finditer(r"\bimport\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?\{([^{}]*)\}\s*from\s*([\"'])", code):
-        end = dict(strings).get(m.start(2))
+        end = ends.get(m.start(2))
         if end:
             names = [re.sub(r"^type\s+", "", x.strip()).split(" as ")[0].strip() for x in m[1].split(",")]
             out.imports += [(x, text[m.start(2) + 1 : end - 1]) for x in names if x]

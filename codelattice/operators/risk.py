@@ -60,13 +60,22 @@ def top(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "qualified_name").limit(n)
 
 
-def changes(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int = 3) -> DataFrame:
-    """qualified_name, file, line_start, risk, score, fan_in, has_tests, impact, high of every symbol in the changed files (file)."""
+def changed(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """nodes with their scores and `high`, of the symbols in the changed files (file)."""
+    return scored(nodes, edges).join(files.select("file").distinct(), "file", "left_semi").withColumn("high", F.col("score") >= HIGH_RISK)
+
+
+def change_summary(hit: DataFrame, files: int, limit: int) -> DataFrame:
+    """files, symbols, high_risk, shown: one row about changed()."""
+    return hit.agg(F.lit(files).cast("long").alias("files"), F.count("*").alias("symbols"), F.count_if("high").alias("high_risk"), F.least(F.count("*"), F.lit(limit)).alias("shown"))
+
+
+def with_impact(hit: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """qualified_name, file, line_start, risk, score, fan_in, has_tests, impact, high of rows of changed(): those that are to be shown, as each walks."""
     from ..lineage import cut
     from .graph import impact
 
-    # files are few; Spark broadcasts them if their size allows
-    hit = cut(scored(nodes, edges).join(files.select("file").distinct(), "file", "left_semi"))
+    hit = cut(hit)
     blast = impact(edges, hit.select(F.col("qualified_name").alias("seed")), depth).groupBy(F.col("seed").alias("qualified_name")).agg(F.count("*").alias("impact"))
     out = hit.join(blast, "qualified_name", "left")
-    return out.select("qualified_name", "file", "line_start", round2(F.col("score")).alias("risk"), "score", "fan_in", "has_tests", F.coalesce("impact", F.lit(0)).cast("long").alias("impact"), (F.col("score") >= HIGH_RISK).alias("high"))
+    return out.select("qualified_name", "file", "line_start", round2(F.col("score")).alias("risk"), "score", "fan_in", "has_tests", F.coalesce("impact", F.lit(0)).cast("long").alias("impact"), "high")

@@ -1,15 +1,19 @@
-"""Search over symbols: an inverted index with BM25, feature vectors of names, graph context, and their fusion."""
+"""Search over symbols: matching with BM25, feature vectors of names, graph context, and their fusion."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import DIMENSIONS, bucket, features, words
+from ..functions.names import DIMENSIONS, bucket, features
 from ..schema import CALLS, asserted
 
 #: Columns of the index; a phrase or a set of words may lie in any of them.
@@ -24,35 +28,152 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "qualified_name") -> DataFrame:
-    """id, term, tf, length: the index, one row for each term of each row. Missing columns count as empty."""
-    every = F.concat(*[tokens(F.col(c)) for c in columns if c in docs.columns])
-    rows = docs.select(F.col(key).alias("id"), every.alias("terms")).withColumn("length", F.size("terms"))
-    return rows.select("id", "length", F.explode("terms").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+#: A query's pieces: quoted text, words (a star after them asks for a start), signs.
+PIECE = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([^\W]+)|([()*:+]))')
+
+
+class BadQuery(ValueError):
+    pass
 
 
-def query_terms(query: str) -> list[str]:
-    """The terms of a query; quotes and operators aren't syntax, so any text is a valid query."""
-    import re
+@dataclass(frozen=True)
+class Phrase:
+    """Words that follow each other; `start`: the last is only a word's start. column: where, null for anywhere."""
 
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+    words: tuple[str, ...]
+    start: bool = False
+    column: str | None = None
 
 
-def match(index: DataFrame, query: str) -> DataFrame:
-    """id, score: rows that hold every term of the query, with their BM25 score. A query without terms finds nothing."""
-    terms = query_terms(query)
-    hits = index.where(F.col("term").isin(terms) if terms else F.lit(False))
-    stats = index.select("id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean")).head()
-    df = hits.groupBy("term").agg(F.countDistinct("id").alias("df"))
-    n, mean = float(stats["n"] or 0), float(stats["mean"] or 1)
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    return hits.join(df, "term").groupBy("id").agg(F.sum(idf * weight).alias("score"), F.countDistinct("term").alias("found")).where(F.col("found") == len(terms)).drop("found")
+def split_words(text: str) -> tuple[str, ...]:
+    return tuple(re.findall(r"[^\W_]+", text.lower()))
+
+
+def parse_query(query: str, columns: Sequence[str] = COLUMNS) -> tuple | Phrase:
+    """A tree of ("and" | "or" | "not", left, right) over phrases: words next to each other are both asked for; AND, OR, NOT, "phrases", a + b, starts*, column: and brackets.
+
+    Text that isn't a query of this kind is one phrase, so that any text is valid.
+    """
+    try:
+        tree, rest = _either(_pieces(query), columns)
+        if rest:
+            raise BadQuery(query)
+        return tree
+    except BadQuery:
+        return Phrase(split_words(query))
+
+
+def _pieces(query: str) -> list[tuple[str, str]]:
+    out, at, end = [], 0, len(query.rstrip())
+    while at < end:
+        m = PIECE.match(query, at)
+        if not m:
+            raise BadQuery(query)
+        kind = "text" if m[1] is not None else "word" if m[2] is not None else "sign"
+        out.append((kind, m[1].replace('""', '"') if kind == "text" else m[m.lastindex]))
+        at = m.end()
+    return out
+
+
+def _either(pieces: list, columns: Sequence[str]) -> tuple:
+    tree, pieces = _both(pieces, columns)
+    while pieces[:1] == [("word", "OR")]:
+        right, pieces = _both(pieces[1:], columns)
+        tree = ("or", tree, right)
+    return tree, pieces
+
+
+def _both(pieces: list, columns: Sequence[str]) -> tuple:
+    tree, pieces = _without(pieces, columns)
+    while pieces and pieces[0] not in (("word", "OR"), ("sign", ")")):
+        right, pieces = _without(pieces[1:] if pieces[0] == ("word", "AND") else pieces, columns)
+        tree = ("and", tree, right)
+    return tree, pieces
+
+
+def _without(pieces: list, columns: Sequence[str]) -> tuple:
+    tree, pieces = _one(pieces, columns)
+    while pieces[:1] == [("word", "NOT")]:
+        right, pieces = _one(pieces[1:], columns)
+        tree = ("not", tree, right)
+    return tree, pieces
+
+
+def _one(pieces: list, columns: Sequence[str]) -> tuple:
+    if pieces[:1] == [("sign", "(")]:
+        tree, pieces = _either(pieces[1:], columns)
+        if pieces[:1] != [("sign", ")")]:
+            raise BadQuery
+        return tree, pieces[1:]
+    column = None
+    if len(pieces) > 1 and pieces[0][0] == "word" and pieces[1] == ("sign", ":"):
+        column, pieces = pieces[0][1], pieces[2:]
+        if column not in columns:
+            raise BadQuery
+    words: tuple[str, ...] = ()
+    while True:
+        if not pieces or pieces[0][0] == "sign" or pieces[0][0] == "word" and pieces[0][1] in ("AND", "OR", "NOT"):
+            raise BadQuery
+        words, pieces = words + split_words(pieces[0][1]), pieces[1:]
+        if pieces[:1] != [("sign", "+")]:
+            break
+        pieces = pieces[1:]
+    start = pieces[:1] == [("sign", "*")]
+    return Phrase(words, start, column), pieces[start:]
+
+
+def occurrences(phrase: Phrase, terms: dict[str, Column]) -> Column:
+    """How often a phrase stands in the columns' terms."""
+    n, total = len(phrase.words), F.lit(0)
+    for name, t in terms.items():
+        if n and phrase.column in (None, name):
+            hit = lambda x, k: x.startswith(phrase.words[k]) if phrase.start and k == n - 1 else x == phrase.words[k]
+
+            def begins(x: Column, i: Column, t: Column = t) -> Column:
+                return reduce(lambda a, k: a & F.coalesce(hit(F.get(t, i + k), k), F.lit(False)), range(1, n), hit(x, 0))
+
+            first = F.filter(t, lambda x, i: begins(x, i)) if n > 1 else F.filter(t, lambda x: hit(x, 0))
+            total = total + F.size(first)
+    return total
+
+
+def phrases(tree: tuple | Phrase) -> list[Phrase]:
+    """The phrases that a match may hold: all but those after NOT."""
+    if isinstance(tree, Phrase):
+        return [tree]
+    return list(dict.fromkeys(phrases(tree[1]) + (phrases(tree[2]) if tree[0] != "not" else [])))
+
+
+def match(docs: DataFrame, query: str, columns: tuple[str, ...] = COLUMNS, key: str = "qualified_name") -> DataFrame:
+    """id, score: rows that answer a query, with the BM25 score of its phrases. A query without words finds nothing. Missing columns count as empty.
+
+    Nothing is shuffled: one pass counts rows, lengths and the rows of each phrase, a second one filters and scores.
+    """
+    tree = parse_query(query, columns)
+    present = [c for c in columns if c in docs.columns]
+    rows = docs.select(F.col(key).alias("id"), *[tokens(F.col(c)).alias(f"t_{c}") for c in present])
+    terms = {c: F.col(f"t_{c}") for c in present}
+    wanted = phrases(tree)
+
+    def holds(node: tuple | Phrase) -> Column:
+        if isinstance(node, Phrase):
+            return occurrences(node, terms) > 0
+        left, right = holds(node[1]), holds(node[2])
+        return left & right if node[0] == "and" else left | right if node[0] == "or" else left & ~right
+
+    length = reduce(lambda a, t: a + F.size(t), terms.values(), F.lit(0))
+    stats = rows.agg(F.count("*").alias("n"), F.avg(length).alias("mean"), *[F.count_if(occurrences(p, terms) > 0).alias(f"df{k}") for k, p in enumerate(wanted)]).head()
+    mean, score = float(stats["mean"] or 1) or 1.0, F.lit(0.0)
+    for k, p in enumerate(wanted):
+        tf = occurrences(p, terms)
+        idf = math.log(1 + (stats["n"] - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5))
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+    return rows.where(holds(tree)).select("id", score.alias("score"))
 
 
 def text_search(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """id, score: the best matches, ties by id."""
-    return match(postings(docs), query).orderBy(F.desc("score"), "id").limit(limit)
+    return match(docs, query).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def vectors(docs: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
@@ -123,8 +244,3 @@ def find_name(nodes: DataFrame, part: str, size: DataFrame, limit: int = 20) ->
     hits = nodes.where(F.lower("qualified_name").contains(part.lower())).select("qualified_name")
     out = hits.join(size.withColumnRenamed("node", "qualified_name"), "qualified_name", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     return out.orderBy(F.desc("size"), "qualified_name").limit(limit)
-
-
-def word_list(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """key, word, n: the words of a text and how often each occurs."""
-    return docs.select(F.col(key), F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import round2
-from ..lineage import cut
+from ..lineage import cut, numbered
 from ..schema import CALLS, asserted
 from .graph import arcs, components, reach, weighted_adjacency
 
 SWEEPS = 10
+#: Places in which the entries of a component meet its core.
+SALTS = 32
 
 
 def propagate(edges: Sequence[tuple[str, str, int]], sweeps: int = SWEEPS) -> dict[str, str]:
@@ -54,9 +57,9 @@ def communities(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = pairs.groupBy("component").applyInPandas(label, "node string, label string")
     sized = cut(labels).withColumn("file", F.substring_index("node", "::", 1))
     groups = sized.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
-    numbered = groups.withColumn("id", F.row_number().over(Window.orderBy(F.desc("size"), "least")).cast("long") - 1)  # a row for each community
-    members = sized.join(numbered.select("label", "id"), "label")
-    named = numbered.join(community_names(members), "id")
+    placed = numbered(groups, F.desc("size"), "least")
+    members = sized.join(placed.select("label", "id"), "label")
+    named = placed.join(community_names(members), "id")
     repeated = F.count("*").over(Window.partitionBy("base")) > 1
     out = named.select("id", "size", F.when(repeated, F.concat("base", F.lit(" #"), F.col("id").cast("string"))).otherwise(F.col("base")).alias("label"))
     return out, members.select("node", F.col("id").alias("community_id"))
@@ -88,14 +91,61 @@ def flow_entries(edges: DataFrame) -> DataFrame:
     return calls.select(F.col("source").alias("seed")).distinct().join(calls.select(F.col("target").alias("seed")).distinct(), "seed", "left_anti")
 
 
+@dataclass(frozen=True)
+class Flows:
+    """Flows without a row for each member: in a component of calls, every entry that reaches its centre reaches all that the centre does.
+
+    table: id, entry, size, criticality, component, through (whether it passes the centre). walks: entry, node, for what lies
+    outside that core. core: component, node.
+    """
+
+    table: DataFrame
+    walks: DataFrame
+    core: DataFrame
+
+    def members(self) -> DataFrame:
+        """flow_id, node: one row for each; a component's core meets its entries in SALTS places."""
+        own = self.walks.join(self.table.select(F.col("id").alias("flow_id"), "entry"), "entry").select("flow_id", "node")
+        through = self.table.where("through").select(F.col("id").alias("flow_id"), "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        core = self.core.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        return own.unionByName(core.join(through, ["component", "salt"]).select("flow_id", "node"))
+
+    def criticality(self) -> DataFrame:
+        """node, criticality: the largest of the flows that a node is in; a core's nodes share one."""
+        own = self.walks.join(self.table.select("entry", "criticality"), "entry").select("node", "criticality")
+        most = self.table.where("through").groupBy("component").agg(F.max("criticality").alias("criticality"))
+        return own.unionByName(self.core.join(most, "component").select("node", "criticality")).groupBy("node").agg(F.max("criticality").alias("criticality"))
+
+
+def flow_parts(edges: DataFrame) -> Flows:
+    """From each entry all that it reaches; numbered by entry; criticality is the size by that of the largest flow.
+
+    A component's centre is its node with the most neighbours, which most entries reach. What it reaches is the component's
+    core. An entry that reaches the centre is followed only up to the core, the others stay outside all that leads to it.
+    """
+    steps = cut(arcs(edges, True).where("a <> b"))
+    parts = components(edges)
+    degree = steps.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    centres = cut(parts.join(degree, "node").groupBy("component").agg(F.max_by("node", F.struct("n", "node")).alias("seed")))
+    of = centres.withColumnRenamed("component", "c")
+    core = cut(reach(steps, centres.select("seed"), keep_seed=True).join(of, "seed").select(F.col("c").alias("component"), "node"))
+    leading = cut(reach(steps.select(F.col("b").alias("a"), F.col("a").alias("b")), centres.select("seed"), keep_seed=True).select("node"))
+    entries = cut(flow_entries(edges).join(parts.withColumnRenamed("node", "seed"), "seed").join(leading.select(F.col("node").alias("seed"), F.lit(True).alias("through")), "seed", "left").withColumn("through", F.coalesce("through", F.lit(False))))
+    outer = cut(steps.join(core.select(F.col("node").alias("b")), "b", "left_anti").unionByName(steps.join(leading.select(F.col("node").alias("a")), "a", "left_anti")).distinct())
+    starts = entries.join(core.select(F.col("node").alias("seed")), "seed", "left_anti").select("seed")
+    walks = cut(reach(outer, starts, keep_seed=True).join(entries.select("seed", "through"), "seed").join(core.select("node", F.lit(True).alias("inside")), "node", "left").where("inside is null or not through").select(F.col("seed").alias("entry"), "node"))
+    size = walks.groupBy(F.col("entry").alias("seed")).agg(F.count("*").alias("own"))
+    whole = core.groupBy("component").agg(F.count("*").alias("all"))
+    sizes = entries.join(size, "seed", "left").join(whole, "component", "left").select(F.col("seed").alias("entry"), "component", "through", (F.coalesce("own", F.lit(0)) + F.when(F.col("through"), F.col("all")).otherwise(0)).alias("size")).where("size > 1")
+    table = numbered(sizes, "entry")
+    largest = table.agg(F.max("size")).head()[0] or 1
+    return Flows(table.select("id", "entry", "size", round2(F.col("size") / F.lit(largest)).alias("criticality"), "component", "through"), walks, core)
+
+
 def flows(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(flows, memberships): from each entry all that it reaches; numbered by entry; criticality is the size by that of the largest flow."""
-    reached = reach(cut(arcs(edges, True)), flow_entries(edges), keep_seed=True)
-    sizes = cut(reached.groupBy(F.col("seed").alias("entry")).agg(F.count("*").alias("size")).where("size > 1"))
-    largest = sizes.agg(F.max("size")).head()[0] or 1
-    numbered = sizes.withColumn("id", F.row_number().over(Window.orderBy("entry")).cast("long") - 1)  # a row for each entry
-    table = numbered.select("id", "entry", "size", round2(F.col("size") / F.lit(largest)).alias("criticality"))
-    return table, reached.select(F.col("seed").alias("entry"), "node").join(numbered.select("id", "entry"), "entry").select(F.col("id").alias("flow_id"), "node")
+    """(flows, memberships) of flow_parts(), with a row for each member."""
+    got = flow_parts(edges)
+    return got.table.select("id", "entry", "size", "criticality"), got.members()
 
 
 def flow_criticality(flow_table: DataFrame, memberships: DataFrame) -> DataFrame:

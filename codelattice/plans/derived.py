@@ -51,7 +51,7 @@ class Graph:
     edges: DataFrame
 
 
-_KEPT: dict[tuple[int, str], Graph] = {}
+_KEPT: dict[tuple[str, str], Graph] = {}
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -65,7 +65,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The tables and resolved edges of a data directory, built once in a session and kept in the checkpoint folder."""
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
         nodes, calls, imports = (cut(x) for x in inputs(spark, sf_dir))
         _KEPT[key] = Graph(nodes, calls, imports, cut(resolve(nodes, calls, imports)))

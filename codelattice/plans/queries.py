@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..frontends.registry import Registry
 from ..functions import names as N
 from ..lineage import cut
 from ..operators import graph as G
+from ..operators import parse
 from ..operators import resolve as R
 from ..operators import risk, search, structure
 
@@ -71,7 +73,11 @@ scored AS (
   FROM nodes n LEFT JOIN fan f ON f.node = n.qualified_name LEFT JOIN cover c ON c.node = n.qualified_name LEFT JOIN touch t ON t.node = n.qualified_name),
 risks AS (SELECT *, 0.5::DOUBLE * fan_in_norm + 0.3::DOUBLE * test_gap + 0.2::DOUBLE * density AS score FROM scored)"""
 ROUND = "round(({}) * 100) / 100"
-SEEDS = "seeds AS (SELECT qualified_name AS seed FROM nodes WHERE kind <> 'Type' AND p_partkey % 97 = 0)"
+SEEDS = "seeds AS (SELECT qualified_name AS seed FROM nodes WHERE kind <> 'Type')"
+#: Walks of every seed: backward against each asserted edge, forward along asserted calls.
+WALKS = SEEDS + """,
+back AS MATERIALIZED (SELECT DISTINCT target AS a, source AS b FROM sure), fore AS MATERIALIZED (SELECT DISTINCT source AS a, target AS b FROM sure_calls),
+walk(seed, node, hop) AS (SELECT seed, seed, 0 FROM seeds UNION SELECT w.seed, s.b, w.hop + 1 FROM walk w JOIN {steps} s ON s.a = w.node WHERE w.hop < {depth})"""
 CHANGED = "changed AS (SELECT DISTINCT file FROM nodes WHERE p_partkey % 17 = 0)"
 
 
@@ -92,11 +98,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def seeds(nodes: DataFrame) -> DataFrame:
-    return nodes.where("kind <> 'Type' AND p_partkey % 97 = 0").select(F.col("qualified_name").alias("seed"))
-
-
-def symbols(nodes: DataFrame) -> DataFrame:
-    """Every symbol but types, as seeds; the queries that end in _all walk from all of them and have no SQL, which would be too slow."""
+    """Every symbol but types."""
     return nodes.where("kind <> 'Type'").select(F.col("qualified_name").alias("seed"))
 
 
@@ -196,50 +198,22 @@ def first_callers(edges: DataFrame, of: DataFrame) -> DataFrame:
     return of.join(got, F.col("seed") == F.col("node"), "left").select("seed", F.coalesce("total", F.lit(0)).cast("long").alias("callers_total"), F.coalesce(F.array_join("others", "|"), F.lit("")).alias("callers"))
 
 
-@query(EDGES + f""", {SEEDS},
-walk(seed, node, hop) AS (
-  SELECT seed, seed, 0 FROM seeds UNION SELECT w.seed, e.source, w.hop + 1 FROM walk w JOIN sure e ON e.target = w.node WHERE w.hop < 3)
-SELECT seed, node, min(hop) AS hop FROM walk WHERE node <> seed GROUP BY ALL""")
+@query(EDGES + ", " + WALKS.format(steps="back", depth=3) + " SELECT seed, node, min(hop) AS hop FROM walk WHERE node <> seed GROUP BY ALL")
 def impact_depth3(spark, sf_dir):
     g = graph(spark, sf_dir)
     return G.impact(g.edges, seeds(g.nodes), 3)
 
 
-@query(EDGES + f""", {SEEDS},
-walk(seed, node, hop) AS (
-  SELECT seed, seed, 0 FROM seeds UNION SELECT w.seed, e.target, w.hop + 1 FROM walk w JOIN sure_calls e ON e.source = w.node WHERE w.hop < 3)
-SELECT seed, node, min(hop) AS hop FROM walk WHERE node <> seed GROUP BY ALL""")
+@query(EDGES + ", " + WALKS.format(steps="fore", depth=3) + " SELECT seed, node, min(hop) AS hop FROM walk WHERE node <> seed GROUP BY ALL")
 def impact_forward_depth3(spark, sf_dir):
     g = graph(spark, sf_dir)
     return G.impact(g.edges, seeds(g.nodes), 3, forward=True)
 
 
-@query()
-def impact_depth3_all(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return G.impact(g.edges, symbols(g.nodes), 3)
-
-
-@query()
-def impact_forward_depth3_all(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return G.impact(g.edges, symbols(g.nodes), 3, forward=True)
-
-
-@query(EDGES + """, walk(seed, node, hop) AS (
-  SELECT qualified_name, qualified_name, 0 FROM nodes WHERE kind <> 'Type' AND p_partkey % 5 = 0
-  UNION SELECT w.seed, e.source, w.hop + 1 FROM walk w JOIN (SELECT DISTINCT source, target FROM sure) e ON e.target = w.node WHERE w.hop < 2)
-SELECT seed, count(DISTINCT node) AS impact FROM walk WHERE node <> seed GROUP BY seed""")
+@query(EDGES + ", " + WALKS.format(steps="back", depth=3) + " SELECT seed, count(DISTINCT node) AS impact FROM walk WHERE node <> seed GROUP BY seed")
 def impact_multi_seed(spark, sf_dir):
     g = graph(spark, sf_dir)
-    many = g.nodes.where("kind <> 'Type' AND p_partkey % 5 = 0").select(F.col("qualified_name").alias("seed"))
-    return G.impact(g.edges, many, 2).groupBy("seed").agg(F.count("*").alias("impact"))
-
-
-@query()
-def impact_multi_seed_all(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return G.impact(g.edges, symbols(g.nodes), 3).groupBy("seed").agg(F.count("*").alias("impact"))
+    return G.impact(g.edges, seeds(g.nodes), 3).groupBy("seed").agg(F.count("*").alias("impact"))
 
 
 @query(EDGES + " SELECT DISTINCT target AS node, source AS other FROM sure_calls")
@@ -276,20 +250,12 @@ def connected_components(spark, sf_dir):
     return G.components(graph(spark, sf_dir).edges)
 
 
-@query(EDGES + f""", {SEEDS}, walk(seed, node, hop) AS (
-  SELECT seed, seed, 0 FROM seeds UNION SELECT w.seed, e.target, w.hop + 1 FROM walk w JOIN (SELECT DISTINCT source, target FROM sure_calls) e ON e.source = w.node WHERE w.hop < 6)
-SELECT hop, count(*) AS n FROM (SELECT seed, node, min(hop) AS hop FROM walk GROUP BY ALL) GROUP BY hop""")
+@query(EDGES + ", " + WALKS.format(steps="fore", depth=6) + " SELECT hop, count(*) AS n FROM (SELECT seed, node, min(hop) AS hop FROM walk GROUP BY ALL) GROUP BY hop")
 def path_lengths(spark, sf_dir):
     g = graph(spark, sf_dir)
     return G.reach(G.arcs(g.edges, True), seeds(g.nodes), 6, keep_seed=True).groupBy("hop").agg(F.count("*").alias("n"))
 
 
-@query()
-def path_lengths_all(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return G.reach(G.arcs(g.edges, True), symbols(g.nodes), 6, keep_seed=True).groupBy("hop").agg(F.count("*").alias("n"))
-
-
 @query(EDGES + """, place AS (SELECT qualified_name, CASE WHEN contains(file, '/') THEN split_part(file, '/', 1) ELSE '(root)' END AS top, file FROM nodes)
 SELECT least(s.file, t.file) AS a, greatest(s.file, t.file) AS b, count(*) AS weight FROM sure_calls e JOIN place s ON s.qualified_name = e.source JOIN place t ON t.qualified_name = e.target
 WHERE s.file <> t.file GROUP BY ALL""")
@@ -341,15 +307,14 @@ blast AS (SELECT seed, count(DISTINCT node) AS impact FROM walk WHERE node <> se
 @query(CHANGES + f" SELECT qualified_name, file, line_start, {ROUND.format('score')} AS risk, fan_in, has_tests, coalesce(impact, 0) AS impact FROM hit LEFT JOIN blast ON seed = qualified_name ORDER BY score DESC, qualified_name LIMIT 20")
 def detect_changes_top(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return risk.top(risk.changes(g.nodes, g.edges, changed(g.nodes)), 20).drop("score", "high")
+    return risk.with_impact(risk.top(risk.changed(g.nodes, g.edges, changed(g.nodes)), 20), g.edges).drop("score", "high")
 
 
 @query(EDGES + SCORED + f", {CHANGED}, hit AS (SELECT r.* FROM risks r JOIN changed USING (file)) SELECT (SELECT count(*) FROM changed) AS files, count(*) AS symbols, count(*) FILTER (score >= 0.70) AS high_risk, least(count(*), 20) AS shown FROM hit")
 def changes_summary(spark, sf_dir):
     g = graph(spark, sf_dir)
     files = changed(g.nodes)
-    hit = risk.scored(g.nodes, g.edges).join(files, "file", "left_semi")
-    return hit.agg(F.lit(files.count()).cast("long").alias("files"), F.count("*").alias("symbols"), F.count_if(F.col("score") >= risk.HIGH_RISK).alias("high_risk"), F.least(F.count("*"), F.lit(20)).alias("shown"))
+    return risk.change_summary(risk.changed(g.nodes, g.edges, files), files.count(), 20)
 
 
 # ---- flows and communities
@@ -363,7 +328,7 @@ flow AS (SELECT row_number() OVER (ORDER BY entry) - 1 AS id, entry, size, round
 
 @query(FLOWS + " SELECT * FROM flow")
 def flows(spark, sf_dir):
-    return structure.flows(graph(spark, sf_dir).edges)[0]
+    return structure.flow_parts(graph(spark, sf_dir).edges).table.select("id", "entry", "size", "criticality")
 
 
 @query(FLOWS + " SELECT f.id AS flow_id, w.node FROM flow f JOIN walk w USING (entry)")
@@ -373,7 +338,7 @@ def flow_members(spark, sf_dir):
 
 @query(FLOWS + " SELECT w.node, max(f.criticality) AS criticality FROM flow f JOIN walk w USING (entry) GROUP BY w.node")
 def flow_criticality(spark, sf_dir):
-    return structure.flow_criticality(*structure.flows(graph(spark, sf_dir).edges))
+    return structure.flow_parts(graph(spark, sf_dir).edges).criticality()
 
 
 GROUPED = "groups AS (SELECT qualified_name AS node, p_partkey % 7 AS community_id FROM nodes WHERE p_partkey % 11 <> 0)"
@@ -435,7 +400,7 @@ SELECT qualified_name, round(score * 100) / 100 AS v1, round(v2 * 100) / 100 AS
 @query(RISK_2)
 def risk_v2(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return risk.scored_2(g.nodes, g.edges, structure.flow_criticality(*structure.flows(g.edges)), structure.coupling(g.edges, _groups(g.nodes)))
+    return risk.scored_2(g.nodes, g.edges, structure.flow_parts(g.edges).criticality(), structure.coupling(g.edges, _groups(g.nodes)))
 
 
 # ---- names, text and vectors
@@ -449,20 +414,28 @@ def path_is_test(spark, sf_dir):
 CLASSES = """refs AS (SELECT page_id, unnest(string_split(c, ' ')) AS class FROM (SELECT page_id, unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)) AS c FROM pages))"""
 
 
-def _classes(pages: DataFrame) -> DataFrame:
-    lists = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('class="([^"]*)"'), F.lit(1))).alias("c"))
-    return lists.select("page_id", F.explode(F.split("c", " ")).alias("class")).where("class <> ''")
+def _parsed(files: DataFrame) -> dict[str, DataFrame]:
+    """files: path, extension, text."""
+    made = files.select("path", "extension", F.sha2("text", 256).alias("hash"), F.encode("text", "utf-8").alias("content"))
+    return parse.tables(parse.parse_files(made, Registry()))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("extension"), F.col("html").alias("text"))
 
 
 @query(f"WITH {CLASSES} SELECT page_id, class, count(*) AS n FROM refs WHERE class <> '' GROUP BY ALL")
 def html_class_refs(spark, sf_dir):
-    return _classes(read(spark, sf_dir, "pages")).groupBy("page_id", "class").agg(F.count("*").alias("n"))
+    calls = _parsed(_pages(spark, sf_dir))["raw_calls"]
+    return calls.groupBy(F.regexp_extract("file", r"p(-?\d+)\.html", 1).cast("long").alias("page_id"), F.col("callee").alias("class")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {CLASSES}, styles AS (SELECT unnest(['ad', 'card', 'hero', 'title']) AS class) SELECT class FROM styles WHERE class NOT IN (SELECT class FROM refs)")
 def html_dead_classes(spark, sf_dir):
-    styles = spark.createDataFrame([(c,) for c in ("ad", "card", "hero", "title")], "class string")
-    return styles.join(_classes(read(spark, sf_dir, "pages")).select("class").distinct(), "class", "left_anti")
+    style = spark.createDataFrame([("s.css", "css", ".ad { top: 0 } .card, .hero { top: 1px }\n.title { top: 2px }")], "path string, extension string, text string")
+    got = _parsed(_pages(spark, sf_dir).unionByName(style))
+    edges = R.resolve(got["nodes"], got["raw_calls"], got["imports"], resolve_map=Registry().families())
+    return G.without_dependents(got["nodes"].where("kind = 'Selector'"), edges).select(F.col("name").alias("class"))
 
 
 WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
@@ -485,36 +458,65 @@ def trigrams(spark, sf_dir):
 BUCKET = "list_reduce(list_prepend(37, list_transform(range(1, len({0}) + 1), lambda i: ascii(substr({0}, i, 1)))), lambda h, b: (xor(h, b) * 179) & 255)"
 
 
-@query(f"WITH {GRAMS}, feats AS (SELECT p_partkey, gram AS f FROM grams UNION ALL SELECT p_partkey, unnest({WORDS.format('p_name')}) FROM part), counted AS (SELECT p_partkey, {BUCKET.format('f')} AS dim, count(*) AS n FROM feats GROUP BY ALL) SELECT p_partkey, dim::INT AS dim, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY p_partkey)), 5) AS weight FROM counted")
+@query(f"WITH {GRAMS}, feats AS (SELECT p_partkey, gram AS f FROM grams UNION ALL SELECT p_partkey, unnest({WORDS.format('p_name')}) FROM part), counted AS (SELECT p_partkey, {BUCKET.format('f')} AS dim, count(*) AS n FROM feats GROUP BY ALL) SELECT p_partkey, dim::INT AS dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY p_partkey)), 5) AS weight FROM counted")
 def vector256(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    counts = part.select("p_partkey", F.explode(F.transform(N.features(F.col("p_name")), N.bucket)).alias("dim")).groupBy("p_partkey", "dim").agg(F.count("*").alias("n"))
-    norms = counts.groupBy("p_partkey").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, "p_partkey").select("p_partkey", "dim", "n", F.round(F.col("n") / F.col("norm"), 5).alias("weight"))
+    v = search.vectors(read(spark, sf_dir, "part"), "p_name", "p_partkey")
+    return v.select(F.col("id").cast("long").alias("p_partkey"), F.posexplode("vector").alias("dim", "weight")).where("weight > 0").withColumn("weight", F.round(F.col("weight").cast("double"), 5))
 
 
 @query("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
-s AS (SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, q.v), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS score FROM embeddings, q)
-SELECT vec_id, score FROM s WHERE score > 0 ORDER BY score DESC, vec_id LIMIT 20""")
+s AS (SELECT vec_id, list_reduce(list_transform(list_zip(embedding, q.v), lambda p: (p[1]::FLOAT * p[2]::FLOAT)::FLOAT), lambda a, b: (a + b)::FLOAT) AS score FROM embeddings, q)
+SELECT vec_id, score::DOUBLE AS score FROM s WHERE score > 0 ORDER BY score DESC, vec_id LIMIT 20""")
 def vector_topk(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id = 0").select(F.col("v").alias("q"))  # one row
-    product = F.round(F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)
-    return e.crossJoin(F.broadcast(q)).select("vec_id", product.alias("score")).where("score > 0").orderBy(F.desc("score"), "vec_id").limit(20)
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("vector"))
+    q = e.where("id = 0").head()  # one row
+    return search.rank(e, q["vector"], 20).select(F.col("id").alias("vec_id"), F.col("score").cast("double").alias("score"))
 
 
 TERMS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
 
-@query(f"SELECT doc_id FROM documents WHERE list_contains({TERMS}, 'the') AND list_contains({TERMS}, 'thing') ORDER BY doc_id")
+JOINED = f"concat(' ', array_to_string({TERMS}, ' '), ' ')"
+
+
+def _matched(spark: SparkSession, sf_dir: str, query_text: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc"))
+    return search.match(docs, query_text, key="doc_id").select(F.col("id").alias("doc_id"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_contains({TERMS}, 'the') AND list_contains({TERMS}, 'thing')")
 def fts_match(spark, sf_dir):
-    index = search.postings(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc")), key="doc_id")
-    return search.match(index, '"the" thing').select(F.col("id").alias("doc_id"))
+    return _matched(spark, sf_dir, '"the" thing')
 
 
-@query()
+@query(f"SELECT doc_id FROM documents WHERE contains({JOINED}, ' the thing ') OR contains({JOINED}, ' of thing ')")
+def fts_phrase(spark, sf_dir):
+    return _matched(spark, sf_dir, '"the thing" OR of + thing')
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains({JOINED}, ' thin') AND NOT contains({JOINED}, ' the thing ') AND (list_contains({TERMS}, 'of') OR list_contains({TERMS}, 'and'))")
+def fts_operators(spark, sf_dir):
+    return _matched(spark, sf_dir, '(doc:thin* NOT "the thing") AND (of OR and)')
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains({JOINED}, ' the thing ')")
+def fts_fallback(spark, sf_dir):
+    """Text that is no query is a phrase."""
+    return _matched(spark, sf_dir, 'the, thing')
+
+
+BM25 = f"""WITH d AS (SELECT doc_id, {TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS n, avg(len(t)) AS mean, count(*) FILTER (list_contains(t, 'the')) AS d1, count(*) FILTER (list_contains(t, 'thing')) AS d2 FROM d),
+f AS (SELECT doc_id, len(t) AS size, len(list_filter(t, lambda x: x = 'the')) AS f1, len(list_filter(t, lambda x: x = 'thing')) AS f2 FROM d),
+r AS (SELECT doc_id, ln(1 + (n - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * f1 * 2.2::DOUBLE / (f1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))
+             + ln(1 + (n - d2 + 0.5::DOUBLE) / (d2 + 0.5::DOUBLE)) * f2 * 2.2::DOUBLE / (f2 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)) AS score FROM f, s WHERE f1 > 0 AND f2 > 0)
+SELECT doc_id::VARCHAR AS id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 20"""
+
+
+@query(BM25)
 def fts_ranked(spark, sf_dir):
-    return search.text_search(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("qualified_name"), F.col("text").alias("doc")).withColumn("qualified_name", F.col("qualified_name").cast("string")), "the thing", 20)
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("qualified_name"), F.col("text").alias("doc"))
+    return search.match(docs, "the thing", ("doc",)).orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40),
@@ -560,22 +562,40 @@ def review_callers(spark, sf_dir):
     return first_callers(g.edges, seeds(g.nodes))
 
 
-@query()
-def review_callers_all(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    return first_callers(g.edges, symbols(g.nodes))
-
-
 @query(DERIVED + " SELECT count(DISTINCT file) AS files, count(*) AS nodes FROM nodes")
 def counts(spark, sf_dir):
     return graph(spark, sf_dir).nodes.agg(F.countDistinct("file").alias("files"), F.count("*").alias("nodes"))
 
 
-@query(DERIVED + " SELECT name, count(*) AS n, CASE WHEN count(*) = 1 THEN 'Exact' ELSE 'Ambiguous' END AS found FROM nodes GROUP BY name")
+@query(DERIVED + """, asked AS (SELECT DISTINCT name AS symbol FROM nodes UNION SELECT qualified_name FROM nodes UNION SELECT 'nowhere'),
+hits AS (SELECT a.symbol, n.qualified_name FROM asked a LEFT JOIN nodes n ON n.qualified_name = a.symbol OR n.name = a.symbol)
+SELECT symbol, qualified_name, CASE WHEN qualified_name IS NULL THEN 'None' WHEN count(*) OVER (PARTITION BY symbol) = 1 THEN 'Exact' ELSE 'Ambiguous' END AS found FROM hits""")
 def symbol_lookup(spark, sf_dir):
-    from ..review import name_states
+    """No derived name is another symbol's qualified name, so the two ways to mean one don't mix here."""
+    from ..review import meanings
+
+    nodes = graph(spark, sf_dir).nodes
+    asked = nodes.select(F.col("name").alias("symbol")).union(nodes.select("qualified_name")).union(spark.createDataFrame([("nowhere",)], "symbol string"))
+    return meanings(nodes, asked)
+
+
+@query(EDGES + f", {FAN_IN} SELECT n.qualified_name, coalesce(f.fan_in, 0) AS size FROM nodes n LEFT JOIN fan f ON f.node = n.qualified_name WHERE contains(lower(n.qualified_name), 'bolt 3') ORDER BY size DESC, n.qualified_name LIMIT 20")
+def name_filter(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return search.find_name(g.nodes, "Bolt 3", risk.fan_in(g.edges).withColumnRenamed("fan_in", "size"), 20)
+
+
+@query(DERIVED + " SELECT qualified_name, regexp_extract(qualified_name, '([^:]*)$', 1) AS label FROM nodes")
+def short_labels(spark, sf_dir):
+    return graph(spark, sf_dir).nodes.select("qualified_name", N.short_label(F.col("qualified_name")).alias("label"))
+
+
+# ---- literal sources, whose findings are written out by hand
+
+from . import literal  # noqa: E402
 
-    return name_states(graph(spark, sf_dir).nodes)
+for _name, (_run, _sql) in literal.QUERIES.items():
+    QUERIES[_name], SQL[_name] = _run, _sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.names import round2
+from .lineage import cut
 from .operators import graph, risk, structure
-from .schema import asserted
 from .store import Store
 
 # How many neighbours a context lists, how many risks an overview, and what to ask next.
@@ -31,16 +31,22 @@ def capped(pairs: DataFrame, cap: int) -> DataFrame:
     return ranked.where(F.col("place") <= cap).groupBy("node", "total").agg(F.array_sort(F.collect_list("other")).alias("others"))
 
 
-def name_states(nodes: DataFrame) -> DataFrame:
-    """name, n, found: whether a bare name means one symbol or several."""
-    return nodes.groupBy("name").agg(F.count("*").alias("n")).withColumn("found", F.when(F.col("n") == 1, "Exact").otherwise("Ambiguous"))
+def meanings(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """symbol, qualified_name, found: what each asked symbol may mean: the node of that very name, else those with that bare name.
+
+    found is Exact for one, Ambiguous for several, None (and a null name) for none. A join by name each: no scan for each symbol.
+    """
+    asked, known = symbols.select("symbol").distinct(), nodes.select("qualified_name", "name").distinct()
+    exact = asked.join(known.select(F.col("qualified_name").alias("symbol")).distinct(), "symbol").withColumn("qualified_name", F.col("symbol"))
+    bare = asked.join(exact, "symbol", "left_anti").join(known.select(F.col("name").alias("symbol"), "qualified_name"), "symbol", "left")
+    n = F.count("qualified_name").over(Window.partitionBy("symbol"))
+    return exact.unionByName(bare).withColumn("found", F.when(n == 0, "None").when(n == 1, "Exact").otherwise("Ambiguous"))
 
 
 def symbols_named(nodes: DataFrame, symbol: str) -> list[str]:
     """The qualified names that a symbol may mean: itself if it is one, else those with that bare name, sorted."""
-    hits = nodes.where((F.col("qualified_name") == symbol) | (F.col("name") == symbol)).select("qualified_name").distinct().orderBy("qualified_name").collect()
-    found = [r[0] for r in hits]
-    return [symbol] if symbol in found else found
+    asked = nodes.sparkSession.createDataFrame([(symbol,)], "symbol string")
+    return [r["qualified_name"] for r in meanings(nodes, asked).where("qualified_name is not null").orderBy("qualified_name").collect()]
 
 
 class Review:
@@ -63,9 +69,11 @@ class Review:
         cap = CAPS.get(detail, CAPS["minimal"])
 
         def near(pairs: DataFrame, most: int | None) -> tuple[list[str], int]:
-            hits = pairs.where(F.col("node") == symbol).select("other").distinct()
-            ordered = hits.orderBy("other")
-            return [r[0] for r in (ordered.limit(most) if most else ordered).collect()], hits.count() if most else 0
+            own = pairs.where(F.col("node") == symbol)
+            if most is None:
+                return [r[0] for r in own.select("other").orderBy("other").collect()], 0
+            got = capped(own, most).head()
+            return (list(got["others"]), got["total"]) if got else ([], 0)
 
         calling, total = near(graph.callers_of(self.edges), cap)
         return {
@@ -77,14 +85,13 @@ class Review:
     def changes(self, files: Sequence[str], base: str = "HEAD", limit: int = CHANGE_LIMIT) -> dict:
         """Symbols of the changed files by risk: the first `limit`, with counts of all."""
         spark = self.nodes.sparkSession
-        found = risk.changes(self.nodes, self.edges, spark.createDataFrame([(f,) for f in files], "file string"), DEPTH).persist()
-        total = found.agg(F.count("*").alias("symbols"), F.coalesce(F.sum(F.col("high").cast("long")), F.lit(0)).alias("high")).head()
-        shown = found.orderBy(F.desc("score"), "qualified_name").limit(limit).collect()
-        found.unpersist()
+        hit = cut(risk.changed(self.nodes, self.edges, spark.createDataFrame([(f,) for f in files], "file string")))
+        total = risk.change_summary(hit, len(files), limit).head()
+        shown = risk.with_impact(risk.top(hit, limit), self.edges, DEPTH).orderBy(F.desc("score"), "qualified_name").collect()
         return {
             "base": base, "changed_files": list(files),
             "changed_symbols": [{"symbol": r["qualified_name"], "file": r["file"], "line": r["line_start"], "risk": r["risk"], "fan_in": r["fan_in"], "has_tests": r["has_tests"], "impact": r["impact"]} for r in shown],
-            "truncated": total["symbols"] > limit, "summary": {"files": len(files), "symbols": total["symbols"], "high_risk": total["high"], "shown": len(shown)},
+            "truncated": total["symbols"] > limit, "summary": total.asDict(),
         }
 
     def impact(self, symbol: str, depth: int = DEPTH, forward: bool = False) -> list[str]:
@@ -104,7 +111,7 @@ class Review:
         else:
             pairs = {"callers_of": graph.callers_of, "callees_of": graph.callees_of, "tests_for": graph.tests_for}
             if pattern not in pairs:
-                raise ValueError(f"unknown pattern {pattern}; use callers_of, callees_of, tests_for, impact_of, community_of or file_summary")
+                raise ValueError(f"{pattern!r} is no question about a symbol; there are {', '.join((*pairs, 'impact_of', 'community_of', 'file_summary'))}")
             out = pairs[pattern](self.edges).where(F.col("node") == symbol).select("other").distinct().orderBy("other")
         return [r[0] for r in out.collect()]
 
@@ -127,11 +134,6 @@ class Review:
     def dead(self) -> list[str]:
         return [r[0] for r in graph.without_dependents(self.nodes, self.edges).select("qualified_name").orderBy("qualified_name").collect()]
 
-    def sure_share(self) -> float:
-        """The share of edges that drive analysis."""
-        n = self.edges.count()
-        return asserted(self.edges).count() / n if n else 0.0
-
 
 def round_half_up(x: float) -> float:
     """Two decimals, halves away from zero."""
@@ -141,12 +143,14 @@ def round_half_up(x: float) -> float:
 
 
 def changes_markdown(report: dict) -> str:
-    """A changes report as a comment that can be found again by its first line."""
+    """A changes report as a list for reviewers, to be found again by its first line."""
     s, rows = report["summary"], report["changed_symbols"]
-    head = [MARK, f"## codelattice review, base `{report['base']}`", "", f"**{s['files']} files · {s['symbols']} changed symbols · {s['high_risk']} high-risk (≥{risk.HIGH_RISK:.2f})**", ""]
+    out = [MARK, "### What this change touches", "", f"Compared with `{report['base']}`: {s['symbols']} symbols in {s['files']} files, {s['high_risk']} of them at a risk of {risk.HIGH_RISK:.2f} or more.", ""]
+    for r in rows:
+        tests = "tested" if r["has_tests"] else "**no test**"
+        out.append(f"1. `{r['symbol']}` (line {r['line']}): risk {r['risk']:.2f}, {tests}, called by {r['fan_in']}, may reach {r['impact']}")
     if not rows:
-        return "\n".join([*head, "_No graphed symbols in the changed files._", ""])
-    table = ["| risk | symbol | fan-in | tests | impact |", "|---|---|---|---|---|"]
-    table += [f"| {r['risk']:.2f} | `{r['symbol']}` | {r['fan_in']} | {'✅' if r['has_tests'] else '⚠️ none'} | {r['impact']} |" for r in rows]
-    tail = ["", f"_Showing top {len(rows)} by risk; {s['symbols']} total._"] if report["truncated"] else []
-    return "\n".join([*head, *table, *tail, ""])
+        out.append("The graph knows no symbol in these files.")
+    elif report["truncated"]:
+        out += ["", f"The {len(rows)} riskiest are listed."]
+    return "\n".join([*out, ""])

@@ -26,13 +26,13 @@ def tool(description: str, properties: dict | None = None, required: Iterable[st
 
 
 TOOLS = {
-    "get_minimal_context": tool("Counts, the highest risks and what to ask next. Start here."),
-    "get_review_context": tool("One symbol: signature, risk, callers, callees and tests, within bounds.", SYMBOL | {"detail_level": {"type": "string", "enum": ["minimal", "standard"]}}, ["symbol"]),
-    "detect_changes": tool("Risk of the files changed against a git base.", {"base": TEXT, "limit": {"type": "integer"}}, ["base"]),
-    "impact": tool("What reaches a symbol, or forward what it reaches, within a depth.", SYMBOL | {"depth": {"type": "integer"}, "direction": {"type": "string", "enum": ["reverse", "forward"]}}, ["symbol"]),
-    "search": tool("Symbols by words; gives the exact names that other tools take.", {"query": TEXT, "limit": {"type": "integer"}}, ["query"]),
-    "query_graph": tool("One step in the graph by a pattern.", SYMBOL | {"pattern": {"type": "string", "enum": PATTERNS}}, ["pattern", "symbol"]),
-    "architecture": tool("Communities, their sizes, heads and outside calls."),
+    "get_minimal_context": tool("Size of the graph, its five riskiest symbols, and which tools go on from there."),
+    "get_review_context": tool("A symbol's head, risk, and the first of those around it.", SYMBOL | {"detail_level": {"type": "string", "enum": ["minimal", "standard"]}}, ["symbol"]),
+    "detect_changes": tool("The riskiest symbols in files that differ from a commit.", {"base": TEXT, "limit": {"type": "integer"}}, ["base"]),
+    "impact": tool("All that depends on a symbol (reverse) or that it depends on (forward), so many steps away.", SYMBOL | {"depth": {"type": "integer"}, "direction": {"type": "string", "enum": ["reverse", "forward"]}}, ["symbol"]),
+    "search": tool("Full names of symbols that hold all the words.", {"query": TEXT, "limit": {"type": "integer"}}, ["query"]),
+    "query_graph": tool("The neighbours of a symbol of one kind.", SYMBOL | {"pattern": {"type": "string", "enum": PATTERNS}}, ["pattern", "symbol"]),
+    "architecture": tool("Groups of symbols that call each other, with their most called members."),
 }
 
 
@@ -67,7 +67,7 @@ class Server:
         return reply | {"error": {"code": NO_METHOD, "message": why}}
 
     def _call(self, name: str, args: dict) -> dict:
-        """A tool's failure is content that the assistant can read, not an error of the protocol."""
+        """The answer of a tool as text, or why there is none; either is a result of the call."""
         try:
             payload, failed = self.answer(name, args), False
         except Exception as e:

@@ -22,5 +22,5 @@ def changed_files(root: str, base: str) -> list[str]:
     """Paths that differ from a base; what git says against it becomes the error."""
     got = _git(root, "diff", "--name-only", base, "--")
     if got.returncode:
-        raise RuntimeError(f"git diff failed (base {base}): {got.stderr.strip()}")
+        raise RuntimeError(f"nothing to compare with {base}: {got.stderr.strip()}")
     return [p for line in got.stdout.splitlines() if (p := line.strip().replace("\\", "/"))]

@@ -65,8 +65,8 @@ def test_review_answers(built):
     assert review.symbols_named(r.nodes, "hot") == ["core.py::hot"] and review.symbols_named(r.nodes, "zzz") == []
     assert r.overview()["stats"]["files"] == 4 and r.neighbours("file_summary", "core.py")[0] == "core.py::hot"
     report = r.changes(["core.py"], limit=1)
-    assert report["truncated"] and report["summary"]["symbols"] == 3 and "Showing top 1" in review.changes_markdown(report)
-    assert "No graphed symbols" in review.changes_markdown(r.changes(["none.py"]))
+    assert report["truncated"] and report["summary"]["symbols"] == 3 and "The 1 riskiest are listed." in review.changes_markdown(report)
+    assert "knows no symbol" in review.changes_markdown(r.changes(["none.py"]))
     assert r.risk_v2("core.py::login")["security"] == 1.0 and r.risk_v2("nope") is None
 
 
