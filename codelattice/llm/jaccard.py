@@ -38,7 +38,7 @@ GROUPS, SHORT = 32, 44  # groups at least
 ROUND_HUBS = (8, 64, 512)
 #: Bits of the table of wanted documents: at least 2**the first, about 16 for each document, at most 2**the second (64 MB sent to all tasks; beyond that more of the others pass it, and the join drops them).
 BLOOM_BITS = 22, 29
-#: Places in which the sets of a component meet its one row.
+#: Places in which the sets of a component meet its one row, and shares in which a group's first sets are found.
 SALTS = 32
 #: Of a shingle's hash; a rank of up to MOST, rare up to RARE, stands above it in one 64-bit number.
 TOKEN_BITS, MOST, RARE = 52, 255, 100
@@ -415,16 +415,27 @@ def _linked(docs: DataFrame, reps: DataFrame, percent: int, frequent: int | None
             pairs = pairs.groupBy("print").agg(F.min(F.struct("hub_far", "hub")).alias("h")).select("print", "h.hub")
         else:
             k = ROUND_HUBS[min(step - 1, len(ROUND_HUBS) - 1)] * 4 ** max(0, step - len(ROUND_HUBS))
-            numbered = cut(still_open().drop("first").withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("light"), "far", "print"))))
-            if not numbered.take(1):
+            live = cut(still_open().drop("first"))
+            if not live.take(1):
                 break
+            # a group's first k sets, of the first k of each of its shares, so that no task orders a whole group
+            heads = live.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)))
+            for share in (("sig", "salt"), ("sig",)):
+                heads = heads.withColumn("place", F.row_number().over(Window.partitionBy(*share).orderBy(F.desc("light"), "far", "print"))).where(F.col("place") <= k)
+            order = F.struct((~F.col("light")).alias("heavy"), "far", "print")
+            hubs = F.collect_list(F.when(F.col("light"), F.struct("far", "print", "n", "most", "label"))).alias("hubs")
+            # written, so that the joins have a shuffle on both sides and Spark splits a group that many sets are in
+            firsts = cut(heads.groupBy("sig").agg(hubs, F.max(order).alias("last"), F.count("*").alias("members")))
+
+            def before(h: Column) -> Column:
+                return ~F.col("light") | (h["far"] < F.col("far")) | ((h["far"] == F.col("far")) & (h["print"] < F.col("print")))
+
             # the hubs that a set may link with are gathered by set, so that a pair that shares many groups is made once
-            hubs = numbered.where((F.col("place") <= k) & F.col("light")).groupBy("sig").agg(F.collect_list(F.struct("print", "n", "most", "label", "place")).alias("hubs"))
-            fits = F.filter("hubs", lambda h: (h["place"] < F.col("place")) & (h["label"] != F.col("label")) & _near(F.col("n"), F.col("most"), h["n"], h["most"], percent))
-            each = numbered.join(hubs, "sig").select("print", F.transform(fits, lambda h: h["print"]).alias("hubs")).where(F.size("hubs") > 0)
+            fits = F.filter("hubs", lambda h: before(h) & (h["label"] != F.col("label")) & _near(F.col("n"), F.col("most"), h["n"], h["most"], percent))
+            each = live.join(firsts.select("sig", "hubs"), "sig").select("print", F.transform(fits, lambda h: h["print"]).alias("hubs")).where(F.size("hubs") > 0)
             pairs = each.groupBy("print").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select(F.explode("hubs").alias("hub"), "print")
             pairs = pairs.join(tested, (F.col("hub") == F.col("a")) & (F.col("print") == F.col("b")), "left_anti")
-            work = numbered.where(F.col("place") > k).drop("label", "place")
+            work = live.join(firsts.where(F.col("members") == k).select("sig", "last"), "sig").where(order > F.col("last")).drop("label", "last")
         pairs = cut(pairs.select("hub", "print"))
         step += 1
         if not pairs.take(1):

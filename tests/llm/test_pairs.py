@@ -88,6 +88,28 @@ def test_near_copies_around_the_threshold(spark, seed, frequent):
     assert near(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent) == key(plain_near(rows))
 
 
+def test_large_groups_over_many_rounds(spark, monkeypatch):
+    """Many sets share a passage, few of them link, and a group's first sets are few, so that links lie beyond the first rounds."""
+    monkeypatch.setattr(jaccard, "ROUND_HUBS", (1, 2))
+    monkeypatch.setattr(jaccard, "SALTS", 3)
+    r = np.random.default_rng(4)
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = []
+    for k in range(40):
+        own = [f"d{k}w{i}" for i in range(int(r.integers(3, 16)))]
+        texts.append(" ".join(own) + " " + passage)
+        if k % 4 == 0:
+            texts.append(" ".join(own[:-1] + ["other"]) + " " + passage)
+    rows = list(enumerate(texts))
+    expected = plain_near(rows)
+    assert 5 < len({c for _, _, c in expected}) < len(rows) - 5
+    rounds = []
+    compare = jaccard.compare
+    monkeypatch.setattr(jaccard, "compare", lambda *a: rounds.append(1) or compare(*a))
+    assert near(spark.createDataFrame(rows, "doc_id long, text string"), frequent=4) == key(expected)
+    assert len(rounds) >= 4  # two comparisons a round
+
+
 def test_near_copies_odd_rows(odd, nothing):
     assert near(odd) == key(plain_near([(r["doc_id"], r["text"]) for r in odd.collect()])) and near(nothing) == []
     kept = jaccard.keep_one(odd)
