@@ -89,20 +89,18 @@ def test_near_copies_around_the_threshold(spark, seed, frequent):
 
 
 def test_large_groups_over_many_rounds(spark, monkeypatch):
-    """Many sets share a passage, few of them link, and a group's first sets are few, so that links lie beyond the first rounds."""
+    """Each set is of two of seven passages, so that many sets share signatures and few link, and links lie beyond a group's first sets."""
     monkeypatch.setattr(jaccard, "ROUND_HUBS", (1, 2))
     monkeypatch.setattr(jaccard, "SALTS", 3)
     r = np.random.default_rng(4)
-    passage = " ".join(f"p{i}" for i in range(70))
+    passages = [" ".join(f"p{g}x{i}" for i in range(45)) for g in range(7)]
     texts = []
-    for k in range(40):
-        own = [f"d{k}w{i}" for i in range(int(r.integers(3, 16)))]
-        texts.append(" ".join(own) + " " + passage)
-        if k % 4 == 0:
-            texts.append(" ".join(own[:-1] + ["other"]) + " " + passage)
+    for k in range(80):
+        one, two = r.permutation(7)[:2]
+        texts.append(" ".join([passages[one], passages[two], *[f"d{k}w{i}" for i in range(int(r.integers(0, 4)))]]))
     rows = list(enumerate(texts))
     expected = plain_near(rows)
-    assert 5 < len({c for _, _, c in expected}) < len(rows) - 5
+    assert 10 < len({c for _, _, c in expected}) < 30
     rounds = []
     compare = jaccard.compare
     monkeypatch.setattr(jaccard, "compare", lambda *a: rounds.append(1) or compare(*a))
