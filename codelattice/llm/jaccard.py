@@ -34,7 +34,7 @@ from .shingles import PLACES, mix, shingle_hashes, word_hashes
 #: Counters of shingles; the table is sent to all tasks (a byte each), whatever the input's size.
 COUNTER_BITS = 22
 GROUPS, SHORT = 32, 44  # groups at least
-#: Sets that a group compares with all its others, by round; from then on ever more.
+#: About half as many sets as a group compares with all its others, by round; from then on ever more.
 ROUND_HUBS = (8, 64, 512)
 #: Bits of the table of wanted documents: at least 2**the first, about 16 for each document, at most 2**the second (64 MB sent to all tasks; beyond that more of the others pass it, and the join drops them).
 BLOOM_BITS = 22, 29
@@ -418,14 +418,16 @@ def _linked(docs: DataFrame, reps: DataFrame, percent: int, frequent: int | None
             live = cut(still_open().drop("first"))
             if not live.take(1):
                 break
-            # a group's first k sets, of the first k of each of its shares, so that no task orders a whole group
-            heads = live.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)))
-            for share in (("sig", "salt"), ("sig",)):
-                heads = heads.withColumn("place", F.row_number().over(Window.partitionBy(*share).orderBy(F.desc("light"), "far", "print"))).where(F.col("place") <= k)
+            # each share of a group gives its first sets and, if it may have more, where they end; up to the least of these ends a group's first sets are known
             order = F.struct((~F.col("light")).alias("heavy"), "far", "print")
+            most_of_share = 2 * k // SALTS + 4
+            heads = live.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)))
+            heads = heads.withColumn("place", F.row_number().over(Window.partitionBy("sig", "salt").orderBy(F.desc("light"), "far", "print"))).where(F.col("place") <= most_of_share)
             hubs = F.collect_list(F.when(F.col("light"), F.struct("far", "print", "n", "most", "label"))).alias("hubs")
+            known = heads.groupBy("sig").agg(hubs, F.min(F.when(F.col("place") == most_of_share, order)).alias("last"))
+            upto = F.filter("hubs", lambda h: F.col("last").isNull() | (F.struct(F.lit(False).alias("heavy"), h["far"].alias("far"), h["print"].alias("print")) <= F.col("last")))
             # written, so that the joins have a shuffle on both sides and Spark splits a group that many sets are in
-            firsts = cut(heads.groupBy("sig").agg(hubs, F.max(order).alias("last"), F.count("*").alias("members")))
+            firsts = cut(known.select("sig", upto.alias("hubs"), "last"))
 
             def before(h: Column) -> Column:
                 return ~F.col("light") | (h["far"] < F.col("far")) | ((h["far"] == F.col("far")) & (h["print"] < F.col("print")))
@@ -435,7 +437,7 @@ def _linked(docs: DataFrame, reps: DataFrame, percent: int, frequent: int | None
             each = live.join(firsts.select("sig", "hubs"), "sig").select("print", F.transform(fits, lambda h: h["print"]).alias("hubs")).where(F.size("hubs") > 0)
             pairs = each.groupBy("print").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select(F.explode("hubs").alias("hub"), "print")
             pairs = pairs.join(tested, (F.col("hub") == F.col("a")) & (F.col("print") == F.col("b")), "left_anti")
-            work = live.join(firsts.where(F.col("members") == k).select("sig", "last"), "sig").where(order > F.col("last")).drop("label", "last")
+            work = live.join(firsts.where("last is not null").select("sig", "last"), "sig").where(order > F.col("last")).drop("label", "last")
         pairs = cut(pairs.select("hub", "print"))
         step += 1
         if not pairs.take(1):

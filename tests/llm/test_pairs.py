@@ -90,8 +90,8 @@ def test_near_copies_around_the_threshold(spark, seed, frequent):
 
 def test_large_groups_over_many_rounds(spark, monkeypatch):
     """Each set is of two of seven passages, so that many sets share signatures and few link, and links lie beyond a group's first sets."""
-    monkeypatch.setattr(jaccard, "ROUND_HUBS", (1, 2))
-    monkeypatch.setattr(jaccard, "SALTS", 3)
+    monkeypatch.setattr(jaccard, "ROUND_HUBS", (0, 1))
+    monkeypatch.setattr(jaccard, "SALTS", 2)
     r = np.random.default_rng(4)
     passages = [" ".join(f"p{g}x{i}" for i in range(45)) for g in range(7)]
     texts = []
