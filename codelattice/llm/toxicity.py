@@ -3,7 +3,7 @@
 The classifier sees confirmed toxic documents and unlabelled text only. With class prior p, the risk
 of a scorer is p * E_pos[loss(+)] + max(0, E_unl[loss(-)] - p * E_pos[loss(-)]); when the second part
 falls below zero, the step goes the other way on it (Kiryo et al., 2017). Features are the words of
-the whole text, present or not, out of those that separate the two samples best.
+the whole text, present or not, out of those that tell the toxic sample best from all documents.
 """
 
 from __future__ import annotations
@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Documents that the model is fitted on at most, the smallest by a hash of doc_id: confirmed toxic, unlabelled.
+#: Documents that the steps of the risk take at most, the smallest by a hash of doc_id: confirmed toxic, unlabelled. All else is counted over all documents that aren't held out.
 POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 16_000
 VOCABULARY, LEAST_DOCUMENTS = 1_024, 6
 #: A word is a feature if chance explains its share among the toxic with less than exp(-EVIDENCE - log of the words tried).
 EVIDENCE = 0.0
+#: The class prior lies between these. The first fit takes the greatest, and its scores give the prior of the second.
+LEAST_PRIOR, MOST_PRIOR = 1e-4, 0.5
+#: Scores before the logistic function are counted by steps of 1 / STEPS.
+STEPS = 1_024
 #: Scores from here on are predicted as toxic.
 THRESHOLD = 0.7
 
@@ -88,89 +92,154 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n: int, pri
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 3, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> PuModel:
-    """The model, learned from labels of rows that aren't held out and from unlabelled text of such rows.
+    """The model, learned from documents labelled toxic that aren't held out, and from text alone.
 
-    Rows with a null doc_id or label don't count; a doc_id labelled toxic anywhere is. Without any toxic
-    document every text gets the same score, the prior.
+    Words are chosen, and the class prior and the cut found, by counts over all documents that aren't held out; the steps of the risk take the toxic
+    documents and a sample of the others. Labels of 0 aren't read. Rows with a null
+    doc_id or label don't count as labelled; a doc_id labelled toxic anywhere is; null texts are empty ones. Without any toxic
+    document every text gets the same low score.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rate = known.agg(F.avg("toxic")).head()[0]
-    prior = float(np.clip(rate if rate is not None else 0.0, 1e-4, 0.5))
     by_hash = (F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    chosen = known.where("toxic = 1").select("doc_id", F.lit(1).alias("positive")).orderBy(*by_hash).limit(positive_rows)
-    others = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out(F.col("doc_id"))).distinct().orderBy(*by_hash).limit(unlabelled_rows)
-    sample = chosen.unionByName(others.select("doc_id", F.lit(0).alias("positive")))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic = 1").where(~held_out(F.col("doc_id")))
+    chosen = cut(known.select("doc_id").distinct().orderBy(*by_hash).limit(positive_rows))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                bags = [words(t) for t in batch.column(0).slice(k, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([sketch(x) for x in bags]), pa.array([sorted(x) for x in bags], pa.list_(pa.string()))], ["sketch", "words"])
+
+    # copies say little about words, so one bag stands for all with its sketch; the broadcast side has at most positive_rows numbers
+    toxic = texts.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").mapInArrow(distinct_words, "sketch string, words array<string>")
+    toxic = cut(toxic.groupBy("sketch").agg(F.min("words").alias("words")))
+    n_pos = toxic.count()
+    if not n_pos:
+        return PuModel([], np.zeros(0), float(np.log(LEAST_PRIOR / (1 - LEAST_PRIOR))))
+    least = min(LEAST_DOCUMENTS, max(1, n_pos // 20))
+    found = {r["word"]: r["n"] for r in toxic.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}  # words of at most positive_rows texts
+    candidates = sorted(found)
+    rows = cut(_numbered(texts, candidates))
+    n_unl, u = _documents_with(rows, len(candidates))
+    p = np.array([found[w] for w in candidates], float)
+    lift = (p + 1) / (n_pos + 2) * (n_unl + 2) / (u + 1)
+    # the exponent of Chernoff's bound on so many toxic documents, if the word had its share among all
+    gain = np.where(lift > 1, p * (np.log(lift) - 1 + 1 / lift), 0.0)
+    order = [k for k in np.lexsort((np.arange(len(gain)), -gain)).tolist() if lift[k] > 1 and gain[k] > EVIDENCE + np.log(max(1, int((lift > 1).sum())))]
+    place = np.full(len(candidates), -1, np.int64)
+    place[order[:VOCABULARY]] = np.arange(len(order[:VOCABULARY]))
+    vocabulary = [candidates[k] for k in order[:VOCABULARY]]
+
+    others = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(*by_hash).limit(unlabelled_rows)
+    sample = chosen.select("doc_id", F.lit(1).alias("positive")).unionByName(others.select("doc_id", F.lit(0).alias("positive")))
+    drawn = sorted((r["positive"], r["doc_id"], sorted(_features(r["x"], place))) for r in rows.join(F.broadcast(sample), "doc_id").select("positive", "doc_id", "x").collect())  # at most the sample's rows
+    positive, unlabelled = [x for one, _, x in drawn if one], [x for one, _, x in drawn if not one]
+    sets = cut(_feature_sets(rows, place))
+
+    def scores(w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the toxic sample; those that documents have and how many have each, of all of them."""
+        return np.array([_step(b + w[x].sum()) for x in positive]), *_distribution(sets, w, b)
+
+    w, b, _ = fit_nnpu(positive, unlabelled, len(vocabulary), MOST_PRIOR)
+    prior = max(LEAST_PRIOR, share_of_positives(*scores(w, b), MOST_PRIOR))
+    w, b, _ = fit_nnpu(positive, unlabelled, len(vocabulary), prior)
+    return PuModel(vocabulary, w, b + float(np.log(THRESHOLD / (1 - THRESHOLD))) - best_cut(*scores(w, b), prior))
+
+
+def _numbered(texts: DataFrame, candidates: list[str]) -> DataFrame:
+    """doc_id, sketch (hashed) and x, the numbers of the candidates that a text has (ascending, four bytes each), of each row."""
+    shared = texts.sparkSession.sparkContext.broadcast(candidates)  # words of the labelled sample, so bounded by it
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {w: k for k, w in enumerate(shared.value)}
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                bags = [words(t) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(b) for b in bags], pa.list_(pa.string())), pa.array([sketch(b) for b in bags])], ["doc_id", "positive", "words", "sketch"])
+                bags = [words(t) for t in part.column(1).to_pylist()]
+                x = [np.sort(np.array([index[w] for w in bag & index.keys()], "<u4")).tobytes() for bag in bags]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(bag) for bag in bags]), pa.array(x, pa.binary())], ["doc_id", "sketch", "x"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sketch string, x binary").select("doc_id", F.xxhash64("sketch").alias("sketch"), "x")
 
-    # the broadcast side has at most positive_rows + unlabelled_rows rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    bags = cut(texts.select("doc_id", "positive", "text").mapInArrow(distinct_words, "doc_id long, positive int, words array<string>, sketch string"))
-    single = bags.groupBy("positive", "sketch").agg(F.min_by("words", "doc_id").alias("words"))  # copies say little about words
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents_with(rows: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """How many different sketches all documents have, and how many of these have each candidate. Tasks count; the driver gets n + 1 sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n + 1, np.int64)
         for batch in batches:
-            count: list[Counter] = [Counter(), Counter()]
-            for positive, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                count[positive].update(bag)
-            for positive in (0, 1):
-                yield pa.RecordBatch.from_arrays([pa.array([positive] * len(count[positive]), pa.int32()), pa.array(list(count[positive]), pa.string()), pa.array(list(count[positive].values()), pa.int64())], ["positive", "word", "n"])
-
-    totals = {r["positive"]: r["count"] for r in single.groupBy("positive").count().collect()}
-    n_pos, n_unl = totals.get(1, 0), totals.get(0, 0)
-    if not n_pos:
-        return PuModel([], np.zeros(0), float(np.log(prior / (1 - prior))))
-    counts = single.select("positive", "words").mapInArrow(counted, "positive int, word string, n long").groupBy("word").agg(F.sum(F.expr("if(positive = 1, n, 0)")).alias("p"), F.sum(F.expr("if(positive = 0, n, 0)")).alias("u"))
-    share = (F.col("p") + 1) / (n_pos + 2), (F.col("u") + 1) / (n_unl + 2)
-    # the exponent of Chernoff's bound on so many toxic documents, if the word had its share among the unlabelled
-    counts = cut(counts.where(F.col("p") >= min(LEAST_DOCUMENTS, max(1, n_pos // 20))).withColumn("lift", share[0] / share[1]).where("lift > 1"))
-    tried = counts.count()
-    ranked = counts.withColumn("gain", F.col("p") * (F.log("lift") - 1 + 1 / F.col("lift"))).where(F.col("gain") > EVIDENCE + float(np.log(max(1, tried))))
-    vocabulary = [r["word"] for r in ranked.orderBy(F.desc("gain"), "word").limit(VOCABULARY).collect()]
-    index = {w: i for i, w in enumerate(vocabulary)}
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total[n] += batch.num_rows
+            total[:n] += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").astype(np.int64), minlength=n)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
+
+    single = rows.groupBy("sketch").agg(F.min("x").alias("x")).select("x")
+    out = np.zeros(n + 1, np.int64)
+    for r in single.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r["k"]] = r["n"]
+    return int(out[n]), out[:n].astype(float)
+
+
+def _features(x: bytes, place: np.ndarray) -> np.ndarray:
+    """The feature numbers of a text, from those of its candidates."""
+    found = place[np.frombuffer(x, "<u4").astype(np.int64)]
+    return found[found >= 0]
+
+
+def _feature_sets(rows: DataFrame, place: np.ndarray) -> DataFrame:
+    """x, n: the sets of features that documents have, and how many documents have each; added up by each batch before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted(index[w] for w in set(bag) & index.keys()) for bag in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "positive", "x"])
+            count = Counter(np.sort(_features(x, place)).astype("<u4").tobytes() for x in batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["x", "n"])
 
-    rows = sorted(((r["positive"], r["doc_id"], r["x"]) for r in bags.select("doc_id", "positive", "words").mapInArrow(features, "doc_id long, positive int, x array<int>").collect()))  # at most the sample's rows
-    positive, unlabelled = [x for p, _, x in rows if p], [x for p, _, x in rows if not p]
+    return rows.select("x").mapInArrow(run, "x binary, n long").groupBy("x").agg(F.sum("n").alias("n"))
 
-    def scores(w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.array([b + w[x].sum() for x in side]) for side in (positive, unlabelled))
 
-    w, b, _ = fit_nnpu(positive, unlabelled, len(vocabulary), prior)
-    prior = share_of_positives(*scores(w, b), prior)
-    w, b, _ = fit_nnpu(positive, unlabelled, len(vocabulary), prior)
-    return PuModel(vocabulary, w, b + float(np.log(THRESHOLD / (1 - THRESHOLD))) - best_cut(*scores(w, b), prior))
+def _step(z: float) -> float:
+    """A score before the logistic function on the grid of STEPS to one, cut at 30 as PuModel cuts it."""
+    return float(np.round(np.clip(z, -30, 30) * STEPS) / STEPS)
+
 
+def _distribution(sets: DataFrame, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """The scores that all documents have, ascending on the grid, and how many have each; at most 60 * STEPS + 1 rows reach the driver."""
 
-def share_of_positives(positive: np.ndarray, unlabelled: np.ndarray, most: float, least_found: float = 0.3) -> float:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [_step(b + w[np.frombuffer(x, "<u4").astype(np.int64)].sum()) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), batch.column(1)], ["z", "n"])
+
+    got = sorted((r["z"], r["n"]) for r in sets.select("x", "n").mapInArrow(run, "z double, n long").groupBy("z").agg(F.sum("n").alias("n")).collect())
+    return np.array([z for z, _ in got], float), np.array([n for _, n in got], float)
+
+
+def _from_on(scores: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The share of documents that score at least each cut; scores ascend."""
+    above = np.append(np.cumsum(weights[::-1])[::-1], 0.0)
+    return above[np.searchsorted(scores, cuts)] / max(1.0, float(weights.sum()))
+
+
+def share_of_positives(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, most: float, least_found: float = 0.3) -> float:
     """The class prior among the unlabelled: at any score, the unlabelled above it are at least that share of the positives above it.
 
-    Only scores that at least least_found of the positives reach are asked; the labels' rate is the most that it can be.
+    unlabelled: scores, ascending, and how many documents have each. Only scores that at least least_found of the positives reach are asked.
     """
     cuts = np.unique(positive)
-    found, flagged = (positive[:, None] >= cuts).mean(0), (unlabelled[:, None] >= cuts).mean(0)
+    if not len(cuts):
+        return most
+    found, flagged = _from_on(np.sort(positive), np.ones(len(positive)), cuts), _from_on(unlabelled, weights, cuts)
     kept = (found >= least_found) & (flagged > 0)
     return float(min(most, (flagged[kept] / found[kept]).min())) if kept.any() else most
 
 
-def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+def best_cut(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, prior: float) -> float:
     """The score between two neighbours from which on a text counts as toxic: the least non-negative risk, of several the middle of the widest gap."""
     seen = np.unique(np.concatenate([positive, unlabelled]))
     cuts = (seen[1:] + seen[:-1]) / 2
     if not len(cuts):
         return float(seen[0]) + 1.0 if len(seen) else 0.0
-    p, u = np.sort(positive), np.sort(unlabelled)
-    found, flagged = 1 - np.searchsorted(p, cuts) / max(1, len(p)), 1 - np.searchsorted(u, cuts) / max(1, len(u))
+    found, flagged = _from_on(np.sort(positive), np.ones(len(positive)), cuts), _from_on(unlabelled, weights, cuts)
     risk = prior * (1 - found) + np.maximum(0, flagged - prior * found)
     return float(cuts[max(np.flatnonzero(risk <= risk.min() + 1e-9), key=lambda k: seen[k + 1] - seen[k])])
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -175,10 +176,37 @@ def test_toxicity_held_out(spark):
 
 
 def test_prior_and_cut_of_separable_scores():
-    positive, unlabelled = np.array([3.0, 4.0, 5.0, 6.0]), np.array([-2.0] * 90 + [3.0, 4.0, 5.0, 6.0] + [-1.0] * 6)
-    prior = toxicity.share_of_positives(positive, unlabelled, 0.2)
-    assert prior == pytest.approx(0.04) and toxicity.best_cut(positive, unlabelled, prior) == 1.0
-    assert toxicity.share_of_positives(np.empty(0), unlabelled, 0.2) == 0.2
+    positive, unlabelled, weights = np.array([3.0, 4.0, 5.0, 6.0]), np.array([-2.0, -1.0, 3.0, 4.0, 5.0, 6.0]), np.array([90.0, 6, 1, 1, 1, 1])
+    prior = toxicity.share_of_positives(positive, unlabelled, weights, 0.2)
+    assert prior == pytest.approx(0.04) and toxicity.best_cut(positive, unlabelled, weights, prior) == 1.0
+    assert toxicity.share_of_positives(np.empty(0), unlabelled, weights, 0.2) == 0.2
+    assert toxicity.best_cut(np.empty(0), np.empty(0), np.empty(0), 0.1) == 0.0
+
+
+def test_toxicity_counts_all_documents(real, odd):
+    """Words, feature sets and scores against plain counts over every row."""
+    for docs in (real, odd, real.limit(0)):
+        texts = docs.select("doc_id", "text")
+        bags = [toxicity.words(r["text"]) for r in texts.collect()]
+        candidates = sorted({w for bag in bags for w in bag})[::7]
+        rows = toxicity._numbered(texts, candidates)
+        first = {}
+        for bag in bags:
+            x = np.array([k for k, w in enumerate(candidates) if w in bag], "<u4").tobytes()
+            first[toxicity.sketch(bag)] = min(x, first.get(toxicity.sketch(bag), x))
+        n, u = toxicity._documents_with(rows, len(candidates))
+        plain = np.zeros(len(candidates))
+        for x in first.values():
+            plain[np.frombuffer(x, "<u4").astype(int)] += 1
+        assert n == len(first) and (u == plain).all()
+        place = np.array([k // 2 if k % 2 else -1 for k in range(len(candidates))], np.int64)
+        chosen = candidates[1::2]
+        sets = toxicity._feature_sets(rows, place)
+        want = Counter(tuple(k for k, w in enumerate(chosen) if w in bag) for bag in bags)
+        assert {tuple(np.frombuffer(r["x"], "<u4").tolist()): r["n"] for r in sets.collect()} == want
+        w = np.sin(np.arange(len(chosen)))
+        scores, weights = toxicity._distribution(sets, w, -0.5)
+        assert weights.sum() == len(bags) and dict(zip(scores, weights)) == Counter(toxicity._step(-0.5 + w[sorted(k for k, v in enumerate(chosen) if v in bag)].sum()) for bag in bags)
 
 
 def test_toxicity_ignores_held_out_labels_and_odd_rows(real, labels, odd, nothing):
