@@ -95,9 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 3, positive_rows: int =
     """The model, learned from documents labelled toxic that aren't held out, and from text alone.
 
     Words are chosen, and the class prior and the cut found, by counts over all documents that aren't held out; the steps of the risk take the toxic
-    documents and a sample of the others. Labels of 0 aren't read. Rows with a null
-    doc_id or label don't count as labelled; a doc_id labelled toxic anywhere is; null texts are empty ones. Without any toxic
-    document every text gets the same low score.
+    documents and a sample of the others. Labels of 0 aren't read. Rows with a null doc_id or label don't count as labelled; a doc_id
+    labelled toxic anywhere is; rows that repeat a doc_id are all counted, and one in the sample; null texts are empty ones. Without
+    any toxic document every text gets the same low score.
     """
     by_hash = (F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic = 1").where(~held_out(F.col("doc_id")))
@@ -132,7 +132,14 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 3, positive_rows: int =
 
     others = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(*by_hash).limit(unlabelled_rows)
     sample = chosen.select("doc_id", F.lit(1).alias("positive")).unionByName(others.select("doc_id", F.lit(0).alias("positive")))
-    drawn = sorted((r["positive"], r["doc_id"], sorted(_features(r["x"], place))) for r in rows.join(F.broadcast(sample), "doc_id").select("positive", "doc_id", "x").collect())  # at most the sample's rows
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.sort(_features(x, place)).tolist() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.int32()))], ["positive", "doc_id", "x"])
+
+    drawn = rows.join(F.broadcast(sample), "doc_id").groupBy("positive", "doc_id").agg(F.min("x").alias("x")).mapInArrow(features, "positive int, doc_id long, x array<int>")
+    drawn = sorted((r["positive"], r["doc_id"], r["x"]) for r in drawn.collect())  # one row for each of the sample, features only
     positive, unlabelled = [x for one, _, x in drawn if one], [x for one, _, x in drawn if not one]
     sets = cut(_feature_sets(rows, place))
 
