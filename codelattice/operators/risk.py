@@ -31,11 +31,19 @@ def ambiguous_touch(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("doubt").alias("ambiguous"), F.count("*").alias("total"))
 
 
-def scored(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with fan_in, has_tests, fan_in_norm, test_gap, ambiguous_density and score (first version, not rounded)."""
+def touched(ends: DataFrame, edges: DataFrame) -> DataFrame:
+    """ambiguous_touch() from ambiguous calls that are counted already (node, ambiguous) and asserted edges."""
+    calls = asserted(edges, CALLS).select(F.explode(F.array("source", "target")).alias("node"), F.lit(0).cast("long").alias("ambiguous"), F.lit(1).cast("long").alias("total"))
+    both = calls.unionByName(ends.select("node", "ambiguous", F.col("ambiguous").alias("total")))
+    return both.groupBy("node").agg(F.sum("ambiguous").alias("ambiguous"), F.sum("total").alias("total"))
+
+
+def scored(nodes: DataFrame, edges: DataFrame, touch: DataFrame | None = None) -> DataFrame:
+    """nodes with fan_in, has_tests, fan_in_norm, test_gap, ambiguous_density and score (first version, not rounded). touch: ambiguous_touch(), if edges lack ambiguous ones."""
     joined = nodes.join(fan_in(edges).withColumnRenamed("node", "qualified_name"), "qualified_name", "left")
     joined = joined.join(tested(edges).select(F.col("node").alias("qualified_name"), F.lit(True).alias("has_tests")), "qualified_name", "left")
-    joined = joined.join(ambiguous_touch(edges).withColumnRenamed("node", "qualified_name"), "qualified_name", "left")
+    touch = ambiguous_touch(edges) if touch is None else touch
+    joined = joined.join(touch.withColumnRenamed("node", "qualified_name"), "qualified_name", "left")
     joined = joined.withColumns({"fan_in": F.coalesce("fan_in", F.lit(0)).cast("long"), "has_tests": F.coalesce("has_tests", F.lit(False))})
     excused = F.col("is_test") | F.col("has_tests") | F.col("kind").isin(*UNTESTABLE)
     joined = joined.withColumns({
@@ -46,9 +54,9 @@ def scored(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("score", WEIGHTS["fan_in"] * F.col("fan_in_norm") + WEIGHTS["test_gap"] * F.col("test_gap") + WEIGHTS["ambiguous"] * F.col("ambiguous_density"))
 
 
-def scored_2(nodes: DataFrame, edges: DataFrame, criticality: DataFrame, coupling: DataFrame) -> DataFrame:
+def scored_2(nodes: DataFrame, edges: DataFrame, criticality: DataFrame, coupling: DataFrame, touch: DataFrame | None = None) -> DataFrame:
     """qualified_name, v1, v2, flow_criticality, community_coupling, security. criticality and coupling: by node."""
-    base = scored(nodes, edges).join(criticality.withColumnRenamed("node", "qualified_name"), "qualified_name", "left").join(coupling.withColumnRenamed("node", "qualified_name"), "qualified_name", "left")
+    base = scored(nodes, edges, touch).join(criticality.withColumnRenamed("node", "qualified_name"), "qualified_name", "left").join(coupling.withColumnRenamed("node", "qualified_name"), "qualified_name", "left")
     base = base.withColumns({"criticality": F.coalesce("criticality", F.lit(0.0)), "coupling": F.coalesce("coupling", F.lit(0.0)), "security": is_security(F.col("name"), F.col("signature"))})
     w = WEIGHTS_2
     v2 = w["fan_in"] * F.col("fan_in_norm") + w["test_gap"] * F.col("test_gap") + w["ambiguous"] * F.col("ambiguous_density") + w["flow"] * F.col("criticality") + w["coupling"] * F.col("coupling") + w["security"] * F.col("security")
@@ -60,9 +68,9 @@ def top(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "qualified_name").limit(n)
 
 
-def changed(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+def changed(nodes: DataFrame, edges: DataFrame, files: DataFrame, touch: DataFrame | None = None) -> DataFrame:
     """nodes with their scores and `high`, of the symbols in the changed files (file)."""
-    return scored(nodes, edges).join(files.select("file").distinct(), "file", "left_semi").withColumn("high", F.col("score") >= HIGH_RISK)
+    return scored(nodes, edges, touch).join(files.select("file").distinct(), "file", "left_semi").withColumn("high", F.col("score") >= HIGH_RISK)
 
 
 def change_summary(hit: DataFrame, files: int, limit: int) -> DataFrame:

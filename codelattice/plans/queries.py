@@ -126,7 +126,7 @@ def imports_derive(spark, sf_dir):
 
 @query(EDGES + " SELECT * FROM edges")
 def resolve_edges(spark, sf_dir):
-    return R.resolve(*inputs(spark, sf_dir))
+    return graph(spark, sf_dir).edges
 
 
 DEEP = EDGES.replace("\ncalls AS (", """\nkeys AS (
@@ -146,12 +146,12 @@ calls AS (""", 1).replace("FROM picked WHERE target", "FROM deep WHERE target").
 
 @query(DEEP + " SELECT * FROM edges")
 def resolve_deep(spark, sf_dir):
-    return R.resolve(*inputs(spark, sf_dir), deep=True)
+    return graph(spark, sf_dir).resolved(deep=True).edges()
 
 
 @query(EDGES + " SELECT kind, tier, count(*) AS n_edges, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY kind) AS share FROM edges GROUP BY kind, tier")
 def tier_distribution(spark, sf_dir):
-    return R.tier_distribution(graph(spark, sf_dir).edges)
+    return R.shares(graph(spark, sf_dir).parts.tiers())
 
 
 @query(EDGES + """, got AS (SELECT DISTINCT source, target FROM sure_calls), want AS (SELECT DISTINCT caller AS source, target FROM picked WHERE n_local = 1 OR confidence = 0.9),
@@ -160,8 +160,8 @@ SELECT (SELECT count(*) FROM got) AS asserted, (SELECT count(*) FROM want) AS tr
        (SELECT count(*) FROM hits)::DOUBLE / (SELECT count(*) FROM got) AS precision, (SELECT count(*) FROM hits)::DOUBLE / (SELECT count(*) FROM want) AS recall""")
 def gold_precision(spark, sf_dir):
     g = graph(spark, sf_dir)
-    truth = R.resolve_calls(g.nodes, g.raw_calls, g.imports).where("confidence >= 0.9 AND tier = 'EXTRACTED'").select("source", "target")
-    return R.precision_recall(g.edges, truth)
+    truth = g.parts.calls.where("confidence >= 0.9 AND tier = 'EXTRACTED'").select("source", "target")
+    return R.precision_recall(g.asserted, truth)
 
 
 FEDERATE = DERIVED + """,
@@ -201,45 +201,45 @@ def first_callers(edges: DataFrame, of: DataFrame) -> DataFrame:
 @query(EDGES + ", " + WALKS.format(steps="back", depth=3) + " SELECT seed, node, min(hop) AS hop FROM walk WHERE node <> seed GROUP BY ALL")
 def impact_depth3(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return G.impact(g.edges, seeds(g.nodes), 3)
+    return G.impact(g.asserted, seeds(g.nodes), 3)
 
 
 @query(EDGES + ", " + WALKS.format(steps="fore", depth=3) + " SELECT seed, node, min(hop) AS hop FROM walk WHERE node <> seed GROUP BY ALL")
 def impact_forward_depth3(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return G.impact(g.edges, seeds(g.nodes), 3, forward=True)
+    return G.impact(g.asserted, seeds(g.nodes), 3, forward=True)
 
 
 @query(EDGES + ", " + WALKS.format(steps="back", depth=3) + " SELECT seed, count(DISTINCT node) AS impact FROM walk WHERE node <> seed GROUP BY seed")
 def impact_multi_seed(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return G.impact(g.edges, seeds(g.nodes), 3).groupBy("seed").agg(F.count("*").alias("impact"))
+    return G.impact(g.asserted, seeds(g.nodes), 3).groupBy("seed").agg(F.count("*").alias("impact"))
 
 
 @query(EDGES + " SELECT DISTINCT target AS node, source AS other FROM sure_calls")
 def callers(spark, sf_dir):
-    return G.callers_of(graph(spark, sf_dir).edges)
+    return G.callers_of(graph(spark, sf_dir).asserted)
 
 
 @query(EDGES + " SELECT DISTINCT source AS node, target AS other FROM sure_calls")
 def callees(spark, sf_dir):
-    return G.callees_of(graph(spark, sf_dir).edges)
+    return G.callees_of(graph(spark, sf_dir).asserted)
 
 
 @query(EDGES + " SELECT DISTINCT source AS node, target AS other FROM edges WHERE kind = 'TESTED_BY'")
 def tests_for(spark, sf_dir):
-    return G.tests_for(graph(spark, sf_dir).edges)
+    return G.tests_for(graph(spark, sf_dir).asserted)
 
 
 @query(EDGES + " SELECT qualified_name, kind, file FROM nodes WHERE qualified_name NOT IN (SELECT target FROM sure)")
 def dead_symbols(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return G.without_dependents(g.nodes, g.edges).select("qualified_name", "kind", "file")
+    return G.without_dependents(g.nodes, g.asserted).select("qualified_name", "kind", "file")
 
 
 @query(EDGES + " SELECT a, b, count(*) AS weight FROM (SELECT source AS a, target AS b FROM sure_calls WHERE source <> target UNION ALL SELECT target, source FROM sure_calls WHERE source <> target) GROUP BY ALL")
 def undirected_adjacency(spark, sf_dir):
-    return G.weighted_adjacency(graph(spark, sf_dir).edges)
+    return G.weighted_adjacency(graph(spark, sf_dir).asserted)
 
 
 ADJACENT = "adj AS (SELECT DISTINCT source AS a, target AS b FROM sure_calls WHERE source <> target UNION SELECT DISTINCT target, source FROM sure_calls WHERE source <> target)"
@@ -247,13 +247,13 @@ ADJACENT = "adj AS (SELECT DISTINCT source AS a, target AS b FROM sure_calls WHE
 
 @query(EDGES + f", {ADJACENT}, " + "walk(node, other) AS (SELECT a, a FROM adj UNION SELECT w.node, j.b FROM walk w JOIN adj j ON j.a = w.other) SELECT node, min(other) AS component FROM walk GROUP BY node")
 def connected_components(spark, sf_dir):
-    return G.components(graph(spark, sf_dir).edges)
+    return G.components(graph(spark, sf_dir).asserted)
 
 
 @query(EDGES + ", " + WALKS.format(steps="fore", depth=6) + " SELECT hop, count(*) AS n FROM (SELECT seed, node, min(hop) AS hop FROM walk GROUP BY ALL) GROUP BY hop")
 def path_lengths(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return G.reach(G.arcs(g.edges, True), seeds(g.nodes), 6, keep_seed=True).groupBy("hop").agg(F.count("*").alias("n"))
+    return G.reach(G.arcs(g.asserted, True), seeds(g.nodes), 6, keep_seed=True).groupBy("hop").agg(F.count("*").alias("n"))
 
 
 @query(EDGES + """, place AS (SELECT qualified_name, CASE WHEN contains(file, '/') THEN split_part(file, '/', 1) ELSE '(root)' END AS top, file FROM nodes)
@@ -263,7 +263,7 @@ def module_chords(spark, sf_dir):
     """All derived files lie under one directory, so files stand for modules here."""
     g = graph(spark, sf_dir)
     spread = g.nodes.withColumn("file", F.concat(F.replace("file", F.lit("/"), F.lit("|")), F.lit("/x")))
-    out = G.module_chords(spread, g.edges)
+    out = G.module_chords(spread, g.asserted)
     return out.select(*[F.replace(c, F.lit("|"), F.lit("/")).alias(c) for c in ("a", "b")], "weight")
 
 
@@ -272,29 +272,29 @@ def module_chords(spark, sf_dir):
 
 @query(EDGES + f", {FAN_IN} SELECT * FROM fan")
 def fan_in(spark, sf_dir):
-    return risk.fan_in(graph(spark, sf_dir).edges)
+    return risk.fan_in(graph(spark, sf_dir).asserted)
 
 
 @query(EDGES + " SELECT DISTINCT source AS node FROM edges WHERE kind = 'TESTED_BY'")
 def tested_set(spark, sf_dir):
-    return risk.tested(graph(spark, sf_dir).edges)
+    return risk.tested(graph(spark, sf_dir).asserted)
 
 
 @query(EDGES + SCORED + " SELECT node, amb::BIGINT AS ambiguous, total FROM touch")
 def ambiguous_touch(spark, sf_dir):
-    return risk.ambiguous_touch(graph(spark, sf_dir).edges)
+    return graph(spark, sf_dir).touch
 
 
 @query(EDGES + SCORED + f" SELECT qualified_name, fan_in, has_tests, {ROUND.format('score')} AS risk FROM risks ORDER BY score DESC, qualified_name LIMIT 20")
 def risk_v1_top(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return risk.top(risk.scored(g.nodes, g.edges), 20).select("qualified_name", "fan_in", "has_tests", N.round2(F.col("score")).alias("risk"))
+    return risk.top(risk.scored(g.nodes, g.asserted, g.touch), 20).select("qualified_name", "fan_in", "has_tests", N.round2(F.col("score")).alias("risk"))
 
 
 @query(EDGES + SCORED + f" SELECT qualified_name, {ROUND.format('score')} AS risk, test_gap, round(density, 9) AS density FROM risks")
 def risk_v1_all(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return risk.scored(g.nodes, g.edges).select("qualified_name", N.round2(F.col("score")).alias("risk"), "test_gap", F.round("ambiguous_density", 9).alias("density"))
+    return risk.scored(g.nodes, g.asserted, g.touch).select("qualified_name", N.round2(F.col("score")).alias("risk"), "test_gap", F.round("ambiguous_density", 9).alias("density"))
 
 
 CHANGES = EDGES + SCORED + f""", {CHANGED},
@@ -307,14 +307,14 @@ blast AS (SELECT seed, count(DISTINCT node) AS impact FROM walk WHERE node <> se
 @query(CHANGES + f" SELECT qualified_name, file, line_start, {ROUND.format('score')} AS risk, fan_in, has_tests, coalesce(impact, 0) AS impact FROM hit LEFT JOIN blast ON seed = qualified_name ORDER BY score DESC, qualified_name LIMIT 20")
 def detect_changes_top(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return risk.with_impact(risk.top(risk.changed(g.nodes, g.edges, changed(g.nodes)), 20), g.edges).drop("score", "high")
+    return risk.with_impact(risk.top(risk.changed(g.nodes, g.asserted, changed(g.nodes), g.touch), 20), g.asserted).drop("score", "high")
 
 
 @query(EDGES + SCORED + f", {CHANGED}, hit AS (SELECT r.* FROM risks r JOIN changed USING (file)) SELECT (SELECT count(*) FROM changed) AS files, count(*) AS symbols, count(*) FILTER (score >= 0.70) AS high_risk, least(count(*), 20) AS shown FROM hit")
 def changes_summary(spark, sf_dir):
     g = graph(spark, sf_dir)
     files = changed(g.nodes)
-    return risk.change_summary(risk.changed(g.nodes, g.edges, files), files.count(), 20)
+    return risk.change_summary(risk.changed(g.nodes, g.asserted, files, g.touch), files.count(), 20)
 
 
 # ---- flows and communities
@@ -328,17 +328,17 @@ flow AS (SELECT row_number() OVER (ORDER BY entry) - 1 AS id, entry, size, round
 
 @query(FLOWS + " SELECT * FROM flow")
 def flows(spark, sf_dir):
-    return structure.flow_parts(graph(spark, sf_dir).edges).table.select("id", "entry", "size", "criticality")
+    return structure.flow_parts(graph(spark, sf_dir).asserted).table.select("id", "entry", "size", "criticality")
 
 
 @query(FLOWS + " SELECT f.id AS flow_id, w.node FROM flow f JOIN walk w USING (entry)")
 def flow_members(spark, sf_dir):
-    return structure.flows(graph(spark, sf_dir).edges)[1]
+    return structure.flows(graph(spark, sf_dir).asserted)[1]
 
 
 @query(FLOWS + " SELECT w.node, max(f.criticality) AS criticality FROM flow f JOIN walk w USING (entry) GROUP BY w.node")
 def flow_criticality(spark, sf_dir):
-    return structure.flow_parts(graph(spark, sf_dir).edges).criticality()
+    return structure.flow_parts(graph(spark, sf_dir).asserted).criticality()
 
 
 GROUPED = "groups AS (SELECT qualified_name AS node, p_partkey % 7 AS community_id FROM nodes WHERE p_partkey % 11 <> 0)"
@@ -357,13 +357,13 @@ def _groups(nodes: DataFrame) -> DataFrame:
 @query(COUPLING + " SELECT * FROM coupled")
 def coupling(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return structure.coupling(g.edges, _groups(g.nodes))
+    return structure.coupling(g.asserted, _groups(g.nodes))
 
 
 @query(COUPLING + " SELECT x.own AS id, count(*) AS external_coupling FROM ends WHERE crossing = 1 GROUP BY 1")
 def external_coupling(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return structure.touched(g.edges, _groups(g.nodes)).where("crossing = 1").groupBy(F.col("own").alias("id")).agg(F.count("*").alias("external_coupling"))
+    return structure.touched(g.asserted, _groups(g.nodes)).where("crossing = 1").groupBy(F.col("own").alias("id")).agg(F.count("*").alias("external_coupling"))
 
 
 @query(COUPLING + f", {FAN_IN}" + """, ranked AS (SELECT g.community_id AS id, g.node, row_number() OVER (PARTITION BY g.community_id ORDER BY coalesce(f.fan_in, 0) DESC, g.node) AS k FROM groups g LEFT JOIN fan f ON f.node = g.node)
@@ -374,17 +374,17 @@ def architecture(spark, sf_dir):
     g = graph(spark, sf_dir)
     members = _groups(g.nodes)
     table = members.groupBy(F.col("community_id").alias("id")).agg(F.count("*").alias("size")).withColumn("label", F.concat(F.lit("group "), F.col("id").cast("string")))
-    return structure.architecture(table, members, g.edges).withColumn("top_members", F.array_join("top_members", "|"))
+    return structure.architecture(table, members, g.asserted).withColumn("top_members", F.array_join("top_members", "|"))
 
 
 @query()
 def communities(spark, sf_dir):
-    return structure.communities(graph(spark, sf_dir).edges)[0]
+    return structure.communities(graph(spark, sf_dir).asserted)[0]
 
 
 @query()
 def community_members(spark, sf_dir):
-    return structure.communities(graph(spark, sf_dir).edges)[1]
+    return structure.communities(graph(spark, sf_dir).asserted)[1]
 
 
 RISK_2 = FLOWS + SCORED + COUPLING[len(EDGES):] + """, crit AS (SELECT w.node, max(f.criticality) AS criticality FROM flow f JOIN walk w USING (entry) GROUP BY w.node),
@@ -400,7 +400,7 @@ SELECT qualified_name, round(score * 100) / 100 AS v1, round(v2 * 100) / 100 AS
 @query(RISK_2)
 def risk_v2(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return risk.scored_2(g.nodes, g.edges, structure.flow_parts(g.edges).criticality(), structure.coupling(g.edges, _groups(g.nodes)))
+    return risk.scored_2(g.nodes, g.asserted, structure.flow_parts(g.asserted).criticality(), structure.coupling(g.asserted, _groups(g.nodes)), g.touch)
 
 
 # ---- names, text and vectors
@@ -532,7 +532,7 @@ def rrf_fusion(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return search.hybrid_search(g.nodes, g.edges, "part 3", 20)
+    return search.hybrid_search(g.nodes, g.asserted, "part 3", 20)
 
 
 @query("SELECT doc_id, (strlen(text) // 4)::BIGINT AS tokens FROM documents")
@@ -559,7 +559,7 @@ c AS (SELECT DISTINCT target AS node, source AS other FROM sure_calls), k AS (SE
 SELECT seed, coalesce(max(total), 0) AS callers_total, coalesce(string_agg(other, '|' ORDER BY other) FILTER (place <= 5), '') AS callers FROM s LEFT JOIN k ON node = seed GROUP BY seed""")
 def review_callers(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return first_callers(g.edges, seeds(g.nodes))
+    return first_callers(g.asserted, seeds(g.nodes))
 
 
 @query(DERIVED + " SELECT count(DISTINCT file) AS files, count(*) AS nodes FROM nodes")
@@ -582,7 +582,7 @@ def symbol_lookup(spark, sf_dir):
 @query(EDGES + f", {FAN_IN} SELECT n.qualified_name, coalesce(f.fan_in, 0) AS size FROM nodes n LEFT JOIN fan f ON f.node = n.qualified_name WHERE contains(lower(n.qualified_name), 'bolt 3') ORDER BY size DESC, n.qualified_name LIMIT 20")
 def name_filter(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return search.find_name(g.nodes, "Bolt 3", risk.fan_in(g.edges).withColumnRenamed("fan_in", "size"), 20)
+    return search.find_name(g.nodes, "Bolt 3", risk.fan_in(g.asserted).withColumnRenamed("fan_in", "size"), 20)
 
 
 @query(DERIVED + " SELECT qualified_name, regexp_extract(qualified_name, '([^:]*)$', 1) AS label FROM nodes")
@@ -601,8 +601,8 @@ for _name, (_run, _sql) in literal.QUERIES.items():
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The riskiest symbols, with how much each may break."""
     g = graph(spark, sf_dir)
-    best = cut(risk.top(risk.scored(g.nodes, g.edges), 20))
-    blast = G.impact(g.edges, best.select(F.col("qualified_name").alias("seed"))).groupBy(F.col("seed").alias("qualified_name")).agg(F.count("*").alias("impact"))
+    best = cut(risk.top(risk.scored(g.nodes, g.asserted, g.touch), 20))
+    blast = G.impact(g.asserted, best.select(F.col("qualified_name").alias("seed"))).groupBy(F.col("seed").alias("qualified_name")).agg(F.count("*").alias("impact"))
     return best.join(blast, "qualified_name", "left").select("qualified_name", "kind", "file", "fan_in", "has_tests", N.round2(F.col("score")).alias("risk"), F.coalesce("impact", F.lit(0)).alias("impact"))
 
 
