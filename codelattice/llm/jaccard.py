@@ -434,10 +434,13 @@ def _linked(docs: DataFrame, reps: DataFrame, percent: int, frequent: int | None
 
             # the hubs that a set may link with are gathered by set, so that a pair that shares many groups is made once
             fits = F.filter("hubs", lambda h: before(h) & (h["label"] != F.col("label")) & _near(F.col("n"), F.col("most"), h["n"], h["most"], percent))
-            each = live.join(firsts.select("sig", "hubs"), "sig").select("print", F.transform(fits, lambda h: h["print"]).alias("hubs")).where(F.size("hubs") > 0)
+            # one row for each of live, written, so that the join is made once: its hubs, and whether the next round has it too
+            more = F.col("last").isNotNull() & F.coalesce(order > F.col("last"), F.lit(False))
+            met = cut(live.join(firsts, "sig").select("sig", "print", "n", "most", "far", "light", F.transform(fits, lambda h: h["print"]).alias("hubs"), more.alias("more")))
+            each = met.where(F.size("hubs") > 0)
             pairs = each.groupBy("print").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select(F.explode("hubs").alias("hub"), "print")
             pairs = pairs.join(tested, (F.col("hub") == F.col("a")) & (F.col("print") == F.col("b")), "left_anti")
-            work = live.join(firsts.where("last is not null").select("sig", "last"), "sig").where(order > F.col("last")).drop("label", "last")
+            work = met.where("more").drop("hubs", "more")
         pairs = cut(pairs.select("hub", "print"))
         step += 1
         if not pairs.take(1):
