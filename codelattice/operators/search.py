@@ -10,10 +10,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import DIMENSIONS, bucket, features
+from ..functions.names import DIMENSIONS, bucket, features, words
 from ..schema import CALLS, asserted
 
 #: Columns of the index; a phrase or a set of words may lie in any of them.
@@ -188,6 +189,41 @@ def vectors(docs: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     return hashed.mapInPandas(count, "id string, vector array<float>")
 
 
+def word_buckets(word: str) -> list[int]:
+    """The buckets of a word's features: bucket() of itself and of its trigrams."""
+    padded, out = f"^{word}$", []
+    for feature in (word, *(padded[i : i + 3] for i in range(len(padded) - 2))):
+        out.append(reduce(lambda h, b: (h ^ b) * 0xB3 & 255, feature.encode(), 0x25))
+    return out
+
+
+def similar(docs: DataFrame, query: str, limit: int) -> DataFrame:
+    """rank() of vectors() of docs (id, text) by a query's vector, with no vector for a row outside its batch.
+
+    A batch's words are hashed once each. Sums of single precision in order of dimension skip only those that the query lacks.
+    """
+    asked = [(k, np.float32(x)) for k, x in enumerate(vector_of(docs.sparkSession, query)) if x]
+    spelled = docs.select(F.col("id").cast("string").alias("id"), words(F.coalesce("text", F.lit(""))).alias("w"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column("w"), batch.num_rows
+            said = lists.flatten().dictionary_encode()
+            known, at = [word_buckets(w) for w in said.dictionary.to_pylist()], said.indices.to_numpy()
+            sizes = np.array([len(b) for b in known], np.int64)
+            repeats, starts = sizes[at], (np.cumsum(sizes) - sizes)[at]
+            place = np.repeat(starts - (np.cumsum(repeats) - repeats), repeats) + np.arange(repeats.sum())
+            row = np.repeat(np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), repeats)
+            counts = np.bincount(row * DIMENSIONS + np.array([x for b in known for x in b], np.int64)[place], minlength=n * DIMENSIONS).reshape(n, DIMENSIONS).astype(np.float32)
+            length = np.maximum(np.sqrt(np.sum(counts * counts, axis=1, dtype=np.float32)), np.float32(1e-30))
+            total = np.zeros(n, np.float32)
+            for k, x in asked:
+                total += counts[:, k] / length * x
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total)], ["id", "score"])
+
+    return spelled.mapInArrow(score, "id string, score float").where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("float"), lambda s, x: s + x)
 
@@ -217,11 +253,11 @@ def vector_of(spark, text: str) -> list[float]:
 
 
 def vector_search(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    return rank(vectors(lexical_docs(nodes)), vector_of(nodes.sparkSession, query), limit)
+    return similar(lexical_docs(nodes), query, limit)
 
 
 def contextual_search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    return rank(vectors(contextual_docs(nodes, edges)), vector_of(nodes.sparkSession, query), limit)
+    return similar(contextual_docs(nodes, edges), query, limit)
 
 
 def fuse(*channels: DataFrame, limit: int) -> DataFrame:

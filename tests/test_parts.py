@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from codelattice.operators import resolve, risk
+from codelattice.operators import resolve, risk, search
 from codelattice.plans import derived
 from codelattice.plans import queries as Q
 from codelattice.schema import IMPORTS, NODES, RAW_CALLS
@@ -60,3 +60,12 @@ def test_symbols_need_no_calls(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(derived, "parts", lambda *a, **k: pytest.fail("resolved"))
     assert Q.QUERIES["counts"](spark, str(tmp_path)).head()["nodes"] > 0
     assert Q.QUERIES["short_labels"](spark, str(tmp_path)).count() > 0
+
+
+def test_similar_ranks_as_vectors_do(spark):
+    texts = ["verifyLogin auth", "login, verify", "", "Straße über 1", "verify verify a", "zz", None, "loginLogin verifyLoginX " * 30]
+    docs = spark.createDataFrame([(f"d{i:02}", t) for i, t in enumerate(texts * 3)], "id string, text string")
+    for query in ("verifyLogin", "straße 1", "none of qqq"):
+        want = search.rank(search.vectors(docs), search.vector_of(spark, query), 12)
+        assert [tuple(r) for r in search.similar(docs, query, 12).collect()] == [tuple(r) for r in want.collect()]
+    assert "zip_with" not in search.similar(docs, "login", 3)._jdf.queryExecution().toString()
