@@ -23,6 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """df, which cut() made; the shuffle files that only its making needed go now, not when the driver happens to collect its garbage."""
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """df, in that order, with id: its place from 0 on. The order must be total.
 

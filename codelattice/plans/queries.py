@@ -126,7 +126,7 @@ def imports_derive(spark, sf_dir):
 
 @query(EDGES + " SELECT * FROM edges")
 def resolve_edges(spark, sf_dir):
-    return graph(spark, sf_dir).edges
+    return graph(spark, sf_dir).edges()
 
 
 DEEP = EDGES.replace("\ncalls AS (", """\nkeys AS (
@@ -146,7 +146,7 @@ calls AS (""", 1).replace("FROM picked WHERE target", "FROM deep WHERE target").
 
 @query(DEEP + " SELECT * FROM edges")
 def resolve_deep(spark, sf_dir):
-    return graph(spark, sf_dir).resolved(deep=True).edges()
+    return graph(spark, sf_dir).edges(deep=True)
 
 
 @query(EDGES + " SELECT kind, tier, count(*) AS n_edges, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY kind) AS share FROM edges GROUP BY kind, tier")

@@ -46,6 +46,15 @@ def test_counts_from_parts_are_those_of_the_rows(parts):
     assert rows(resolve.shares(parts.tiers())) == rows(resolve.tier_distribution(edges))
 
 
+def test_ends_are_counted_without_the_asserted_edges(spark, parts, monkeypatch, tmp_path):
+    rows = lambda df: {tuple(r) for r in df.select("node", "ambiguous", "total").collect()}
+    assert rows(parts.ends()) == rows(risk.ambiguous_touch(parts.edges()))
+    for t in ("part", "lineitem", "orders"):
+        shutil.copy(f"{DIR}/{t}.parquet", tmp_path)
+    monkeypatch.setattr(resolve.Parts, "asserted", property(lambda self: pytest.fail("asserted")))
+    assert Q.QUERIES["ambiguous_touch"](spark, str(tmp_path)).count() > 0
+
+
 @pytest.mark.parametrize("name", ["callers", "dead_symbols", "ambiguous_touch", "risk_v2", "tier_distribution", "impact_multi_seed"])
 def test_no_query_but_the_edge_tables_lists_ambiguous_edges(spark, monkeypatch, tmp_path, name):
     for t in ("part", "lineitem", "orders"):
