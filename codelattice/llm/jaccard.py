@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, give_back, wide
+from .common import arrow_rows, cut, give_back, released, wide
 from .components import connected
 from .shingles import PLACES, mix, shingle_hashes, word_hashes
 
@@ -47,6 +47,8 @@ CHUNK = 256
 ARROW_ROWS = 1_000
 #: Documents to drop whose ids (8 bytes each) are sent to all tasks; more meet the texts by a shuffle.
 BROADCAST_IDS = 400_000
+#: Sets that link (16 bytes each) whose labels are sent to all tasks in a round; more meet the signatures by a shuffle.
+BROADCAST_LABELS = 100_000
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -250,7 +252,7 @@ def shared_signatures(found: DataFrame) -> DataFrame:
     own = Window.partitionBy("sig", "hot", "salt")
     ends = found.withColumn("salt", salt).withColumns({"lo": F.min("print").over(own), "hi": F.max("print").over(own), "all": F.bit_xor(F.xxhash64("print")).over(own), "rows": F.count("*").over(own)})
     group = F.when(F.col("hot"), F.col("sig")).otherwise(F.xxhash64("lo", "hi", "all", "rows"))
-    kept = cut(ends.where("hot or lo <> hi").select(group.alias("sig"), "print", "n", "most", "hot").distinct())
+    kept = released(cut(ends.where("hot or lo <> hi").select(group.alias("sig"), "print", "n", "most", "hot").distinct()))
     often = kept.where("hot").drop("hot")
     groups = often.groupBy("sig").agg(F.min("print").alias("lo"), F.max("print").alias("hi"), F.bit_xor(F.xxhash64("print")).alias("all"), F.count("*").alias("rows")).where("lo <> hi")
     shared = often.join(groups.select("sig", F.xxhash64(F.lit("frequent"), "lo", "hi", "all", "rows").alias("group")), "sig").select(F.col("group").alias("sig"), "print", "n", "most")
@@ -393,15 +395,16 @@ def _linked(docs: DataFrame, reps: DataFrame, percent: int, frequent: int | None
     reps: print, rep (a doc_id with that set, 0 for null).
     """
     spark = docs.sparkSession
-    work = cut(central(shared_signatures(signatures(docs, shingle_ranks(docs, frequent))), percent))
+    work = released(cut(central(shared_signatures(signatures(docs, shingle_ranks(docs, frequent))), percent)))
     labels = spark.createDataFrame([], "print long, label long")
     if not work.take(1):
         return labels
+    sent = labels
     links = tested = spark.createDataFrame([], "a long, b long")
     sketches = cut(_payloads(docs, work.select("print").distinct().join(reps, "print"), parity))
     def still_open() -> DataFrame:
         """Rows of the groups that hold sets of several labels and a light one, with the group's first set, light ones before others."""
-        labelled = work.join(labels, "print", "left").select("sig", "print", "n", "most", "far", "light", F.coalesce("label", "print").alias("label"))
+        labelled = work.join(sent, "print", "left").select("sig", "print", "n", "most", "far", "light", F.coalesce("label", "print").alias("label"))
         first = F.min(F.struct((~F.col("light")).alias("heavy"), "far", "print", "n", "most", "label")).alias("first")
         # written, so that the join has a shuffle on both sides and Spark splits a group that many sets are in
         ends = cut(labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), first).where("lo <> hi and not first.heavy").drop("lo", "hi"))
@@ -445,12 +448,14 @@ def _linked(docs: DataFrame, reps: DataFrame, percent: int, frequent: int | None
         step += 1
         if not pairs.take(1):
             continue
-        tested = tested.unionByName(pairs.select(F.col("hub").alias("a"), F.col("print").alias("b")))
+        # as many partitions as one round has, however many rounds there were
+        tested = tested.unionByName(pairs.select(F.col("hub").alias("a"), F.col("print").alias("b"))).coalesce(wide(spark))
         likely = cut(compare(pairs, sketches, may_link, percent))
-        ends = likely.select("print").unionByName(likely.select(F.col("hub").alias("print"))).distinct()
+        ends = likely.select(F.explode(F.array("hub", "print")).alias("print")).distinct()
         found = compare(likely, _payloads(docs, ends.join(reps, "print"), packed), linked, percent)
-        groups = connected(links.unionByName(found.select(F.col("hub").alias("a"), F.col("print").alias("b"))))
+        groups = released(connected(links.unionByName(found.select(F.col("hub").alias("a"), F.col("print").alias("b")))))
         labels = groups.select(F.col("node").alias("print"), F.col("component").alias("label"))
+        sent = F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels
         links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return labels
 
@@ -467,7 +472,7 @@ def near_copies(docs: DataFrame, percent: int = 75, frequent: int | None = None)
         clash = prints.groupBy("print").agg(F.min("print2").alias("lo"), F.max("print2").alias("hi")).where("lo <> hi").take(1)
         if clash:
             raise RuntimeError("two different sets have the same 64-bit fingerprint")
-        reps = prints.where("print is not null").groupBy("print").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("rep"))
+        reps = cut(prints.where("print is not null").groupBy("print").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("rep")))
         labels = _linked(docs, reps, percent, frequent)
     # the least doc_id of each set, then of each component; a component's many sets meet its one row in SALTS places
     each = prints.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"))

@@ -108,6 +108,15 @@ def test_large_groups_over_many_rounds(spark, monkeypatch):
     assert len(rounds) >= 4  # two comparisons a round
 
 
+def test_near_copies_take_few_shuffles(spark):
+    """Each shuffle leaves files and tasks, however small the input."""
+    rows = list(enumerate(variants(1, groups=3, copies=5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.sparkContext._jsc.sc().newShuffleId()
+    assert near(docs, frequent=1) == key(plain_near(rows))
+    assert spark.sparkContext._jsc.sc().newShuffleId() - before <= 73  # 77 once, 71 since
+
+
 def test_near_copies_odd_rows(odd, nothing):
     assert near(odd) == key(plain_near([(r["doc_id"], r["text"]) for r in odd.collect()])) and near(nothing) == []
     kept = jaccard.keep_one(odd)
